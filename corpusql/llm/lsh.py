@@ -1,21 +1,27 @@
 """Links from MinHash buckets without emitting all pairs of a bucket.
 
 First each member of a bucket is paired with the bucket's smallest member alone; confirmed links give
-components. Then, only in buckets whose members still lie in several components, members of different
-components are paired. So a bucket of n copies costs n pairs, and no candidate that could join two
-components is left out. Buckets are never capped."""
+components. While a turn finds links, a further member of each bucket whose members still lie in several
+components is paired with those of other components. What is then still apart, a few texts that are linked
+with none they were held against, is paired across components by a prefix filter, which loses no pair of the
+similarity asked for. So a bucket of n copies costs a few times n pairs, and no candidate that could join two components is left out; buckets are never capped."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import Staged, stage
 from corpusql.llm.graph import components
 
 
+#: Turns of pivots before what is still apart goes through the prefix filter.
+TURNS = 2
+
+
 def similarity(a: list[Column], b: list[Column], bits: int) -> Column:
     """Jaccard estimated from packed b-bit minima, corrected for the 2^-bits of minima that collide by chance."""
     per, differ = 64 // bits, F.lit(0)
@@ -30,32 +36,59 @@ def similarity(a: list[Column], b: list[Column], bits: int) -> Column:
     return ((1 - differ / F.lit(float(n))) - chance) / (1 - chance)
 
 
-def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], carry: list[str]) -> tuple[DataFrame, DataFrame]:
-    """units(id: long, ``keys``: array<long>, *carry) -> (links(a, b), components(id, root)).
+def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], carry: list[str], percent: int) -> tuple[DataFrame, DataFrame]:
+    """units(id: long, ``keys``: array<long>, one a band, *carry) -> (links(a, b), components(id, root)).
 
     ``alike(x, y)``: a cheap condition on the carried columns of two aliased rows, which no true link fails.
-    ``confirm``: keeps of pairs(a, b) those that are links."""
+    ``confirm``: keeps of pairs(a, b) those that are links. ``tokens``: (id, token) of the full sets of some ids;
+    ``percent``: the Jaccard similarity of a link. ``carry`` holds ``size``, that of the set. The links span the components; they aren't all."""
     members = units.select(F.explode(keys).alias("key"), "id")
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     shared = Staged(members.join(heads, "key"), "buckets").df  # only buckets of several members
-    first = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     side = units.select("id", *carry)
 
-    def passed(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(side.alias("x"), pairs.a == F.col("x.id")).join(side.alias("y"), pairs.b == F.col("y.id"))
-        return stage(p.where(alike("x", "y")).select("a", "b"), "pairs")
-
-    links = stage(confirm(passed(first)), "links")
-    comps = components(links)
-    rooted = Staged(shared.join(comps, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted").df
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = Staged(rooted.join(apart, "key"), "open").df
-    if open_.isEmpty():
-        return links, comps
-    left = open_.join(side, "id")
-    rest = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & alike("x", "y"))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = stage(confirm(stage(rest, "pairs")), "links")
-    links = links.unionByName(more)
-    spanning = comps.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
-    return links, stage(components(spanning), "components")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        p = pairs.distinct()
+        p = p.join(side.alias("x"), p.a == F.col("x.id")).join(side.alias("y"), p.b == F.col("y.id"))
+        return stage(confirm(stage(p.where(alike("x", "y")).select("a", "b"), "pairs")), "links")
+
+    links = confirmed(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    comps = stage(components(links), "components")
+    for turn in range(1, TURNS + 2):
+        rooted = shared.join(comps, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        rooted = Staged(rooted, "rooted").df
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        unsettled = Staged(rooted.join(apart, "key"), "open").df
+        if unsettled.isEmpty():
+            break
+        last = turn > TURNS
+        if not last:
+            # another member, by a hash that changes with the turn, stands for each open bucket
+            pick = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn)))
+            pivots = unsettled.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.root").alias("of"))
+            met = unsettled.join(pivots, "key").where("root <> of")
+            more = confirmed(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+            last = more.isEmpty()
+        if last:
+            more = confirmed(_prefix_pairs(unsettled.select("id", "root").distinct(), tokens, percent))
+        links = links.unionByName(more)
+        spanning = comps.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
+        comps = stage(components(spanning), "components")
+        if last:
+            break
+    return links, comps
+
+
+def _prefix_pairs(left: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """All pairs of left(id, root) of different roots that can have the similarity, by prefixes: of two such sets
+    the rarest |S| - ceil(percent |S| / 100) + 1 tokens of each, in one order for all, have one in common."""
+    tok = Staged(tokens(left.select("id")), "tokens").df
+    often = tok.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = tok.join(often, "token").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
+    ranked = ranked.withColumn("size", F.count("*").over(W.partitionBy("id")))
+    prefix = ranked.where(F.col("rank") <= F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1).where("df > 1")
+    prefix = Staged(prefix.select("token", "id", "size").join(left, "id"), "prefixes").df
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & near)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

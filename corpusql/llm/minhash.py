@@ -4,7 +4,7 @@
 2. Each class gets BANDS x ROWS minima. Bands of them are its bucket keys; the low BITS bits of each, packed
    into 64-bit words, are its signature.
 3. Candidates come from buckets (see lsh). The signatures' differing bits, counted and corrected for chance,
-   estimate the similarity; pairs MARGIN below the threshold, over six standard errors, are left out.
+   estimate the similarity; pairs MARGIN, five standard errors, below the threshold are left out.
 4. The rest is confirmed on full sets, and components of links make the groups.
 
 With 32 bands of 4 rows a pair at similarity 0.8 misses every bucket with probability 5e-8.
@@ -26,7 +26,7 @@ from corpusql.llm.common import Staged, settle, table
 from corpusql.llm.lsh import linked, similarity
 from corpusql.llm.words import MinHash, pack_low_bits, set_hash, shingle_sets
 
-BANDS, ROWS, BITS, MARGIN = 32, 4, 4, 0.25
+BANDS, ROWS, BITS, MARGIN = 32, 4, 4, 0.18
 WORDS = BANDS * ROWS * BITS // 64
 CLASS = "doc_id long, id long, size long, keys array<long>, sig array<long>"
 
@@ -65,6 +65,15 @@ def _own_sets(n: int):
     return run
 
 
+def _tokens(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(x["text"].to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([x["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "token"])
+
+    return run
+
+
 def confirmed(n: int, percent: int):
     """Of rows (a, b, x, y) the pairs (a, b) whose texts x and y have sets that are alike."""
 
@@ -100,14 +109,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         words = [[F.col(f"{t}.s{k}") for k in range(WORDS)] for t in (x, y)]
         return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (similarity(*words, BITS) >= percent / 100 - MARGIN)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        want = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "rep"), "id")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        want = ids.join(classes.select("id", "rep"), "id")
         texts = docs.join(want.withColumnRenamed("rep", "doc_id"), "doc_id").select("id", "text").mapInArrow(_own_sets(n), "id long, text string").dropDuplicates(["id"])
-        texts = Staged(texts, "texts").df
+        return Staged(texts, "texts").df
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        return texts_of(ids).mapInArrow(_tokens(n), "id long, token array<long>").select("id", F.explode("token").alias("token"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(confirmed(n, percent), "a long, b long")
 
-    _, comps = linked(units, "keys", alike, confirm, carry)
+    _, comps = linked(units, "keys", alike, confirm, tokens, carry, percent)
     roots = classes.join(comps, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
     low = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = roots.join(low, "root").select("id", "component_id")
