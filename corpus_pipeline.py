@@ -8,12 +8,14 @@ from corpusql.llm.common import stage, table
 from corpusql.llm.decontaminate import drop_contaminated
 from corpusql.llm.minhash import keep_first
 from corpusql.llm.packing import packed
+from corpusql.llm.secrets import redacted
 from corpusql.llm.toxicity import drop_toxic
 
 STAGES = [
     ("toxicity", lambda spark, docs, sf_dir: drop_toxic(spark, docs, sf_dir)),
     ("near_duplicates", lambda spark, docs, sf_dir: keep_first(spark, docs, sf_dir)),
     ("decontamination", lambda spark, docs, sf_dir: drop_contaminated(spark, docs, sf_dir)),
+    ("secrets", lambda spark, docs, sf_dir: redacted(spark, docs, sf_dir)),
     ("packing", lambda spark, docs, sf_dir: packed(spark, docs, sf_dir)),
 ]
 
