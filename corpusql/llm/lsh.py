@@ -8,18 +8,21 @@ similarity asked for. So a bucket of n copies costs a few times n pairs, and no
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import Staged, stage
 from corpusql.llm.graph import components
+from corpusql.llm.words import shingle_sets
 
 
 #: Turns of pivots before what is still apart goes through the prefix filter.
-TURNS = 2
+TURNS = 1
 
 
 def similarity(a: list[Column], b: list[Column], bits: int) -> Column:
@@ -36,21 +39,50 @@ def similarity(a: list[Column], b: list[Column], bits: int) -> Column:
     return ((1 - differ / F.lit(float(n))) - chance) / (1 - chance)
 
 
-def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], carry: list[str], percent: int) -> tuple[DataFrame, DataFrame]:
+def _confirmed(n: int, percent: int):
+    """Of rows (a, b, x, y) the pairs (a, b) whose texts x and y have sets that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            ids = p["a"].to_pylist()
+            heads = dict(zip(ids, p["x"].to_pylist(), strict=True))  # a head stands in many pairs: its set is made once
+            known = dict(zip(heads, shingle_sets(list(heads.values()), n), strict=True))
+            keep = []
+            for a, t in zip(ids, shingle_sets(p["y"].to_pylist(), n), strict=True):
+                both = len(np.intersect1d(known[a], t, assume_unique=True))
+                keep.append(100 * both >= percent * (len(known[a]) + len(t) - both))
+            yield p.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _tokens(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(x["text"].to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([x["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "token"])
+
+    return run
+
+
+def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], carry: list[str], n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """units(id: long, ``keys``: array<long>, one a band, *carry) -> (links(a, b), components(id, root)).
 
     ``alike(x, y)``: a cheap condition on the carried columns of two aliased rows, which no true link fails.
-    ``confirm``: keeps of pairs(a, b) those that are links. ``tokens``: (id, token) of the full sets of some ids;
-    ``percent``: the Jaccard similarity of a link. ``carry`` holds ``size``, that of the set. The links span the components; they aren't all."""
+    ``texts_of``: the texts (id, text) of some ids, fetched once for all that share a bucket. Links are confirmed
+    on the full sets of ``n``-word shingles at ``percent`` Jaccard similarity. They span the components; they aren't all."""
     members = units.select(F.explode(keys).alias("key"), "id")
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     shared = Staged(members.join(heads, "key"), "buckets").df  # only buckets of several members
+    texts = Staged(texts_of(shared.select("id").distinct()), "texts").df
     side = units.select("id", *carry)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         p = pairs.distinct()
         p = p.join(side.alias("x"), p.a == F.col("x.id")).join(side.alias("y"), p.b == F.col("y.id"))
-        return stage(confirm(stage(p.where(alike("x", "y")).select("a", "b"), "pairs")), "links")
+        p = stage(p.where(alike("x", "y")).select("a", "b"), "pairs")
+        p = p.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        return stage(p.select("a", "b", "x", "y").mapInArrow(_confirmed(n, percent), "a long, b long"), "links")
 
     links = confirmed(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     comps = stage(components(links), "components")
@@ -70,7 +102,9 @@ def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], con
             more = confirmed(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
             last = more.isEmpty()
         if last:
-            more = confirmed(_prefix_pairs(unsettled.select("id", "root").distinct(), tokens, percent))
+            left = unsettled.select("id", "root").distinct()
+            tokens = texts.join(left.select("id"), "id").mapInArrow(_tokens(n), "id long, token array<long>")
+            more = confirmed(_prefix_pairs(left, tokens.select("id", F.explode("token").alias("token")), percent))
         links = links.unionByName(more)
         spanning = comps.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
         comps = stage(components(spanning), "components")
@@ -79,16 +113,19 @@ def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], con
     return links, comps
 
 
-def _prefix_pairs(left: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """All pairs of left(id, root) of different roots that can have the similarity, by prefixes: of two such sets
-    the rarest |S| - ceil(percent |S| / 100) + 1 tokens of each, in one order for all, have one in common."""
-    tok = Staged(tokens(left.select("id")), "tokens").df
+def _prefix_pairs(left: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """All pairs of left(id, root) of different roots that can have the similarity; tokens(id, token): their full sets.
+
+    Of two such sets the rarest |S| - ceil(percent |S| / 100) + 1 tokens of each, in one order for all, have one in
+    common; and from the first common token on, both have enough left for the overlap that is needed."""
+    tok = Staged(tokens, "tokens").df
     often = tok.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tok.join(often, "token").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
     ranked = ranked.withColumn("size", F.count("*").over(W.partitionBy("id")))
     prefix = ranked.where(F.col("rank") <= F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1).where("df > 1")
-    prefix = Staged(prefix.select("token", "id", "size").join(left, "id"), "prefixes").df
+    prefix = Staged(prefix.select("token", "id", "size", "rank").join(left, "id"), "prefixes").df
     x, y = prefix.alias("x"), prefix.alias("y")
-    near = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & near)
+    most = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank")) + 1
+    enough = most * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & enough)
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

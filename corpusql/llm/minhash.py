@@ -65,32 +65,6 @@ def _own_sets(n: int):
     return run
 
 
-def _tokens(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(x["text"].to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([x["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "token"])
-
-    return run
-
-
-def confirmed(n: int, percent: int):
-    """Of rows (a, b, x, y) the pairs (a, b) whose texts x and y have sets that are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            ids = p["a"].to_pylist()
-            heads = dict(zip(ids, p["x"].to_pylist(), strict=True))  # a head stands in many pairs: its set is made once
-            known = dict(zip(heads, shingle_sets(list(heads.values()), n), strict=True))
-            keep = []
-            for a, t in zip(ids, shingle_sets(p["y"].to_pylist(), n), strict=True):
-                both = len(np.intersect1d(known[a], t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(known[a]) + len(t) - both))
-            yield p.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
 
@@ -110,19 +84,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (similarity(*words, BITS) >= percent / 100 - MARGIN)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        want = ids.join(classes.select("id", "rep"), "id")
-        texts = docs.join(want.withColumnRenamed("rep", "doc_id"), "doc_id").select("id", "text").mapInArrow(_own_sets(n), "id long, text string").dropDuplicates(["id"])
-        return Staged(texts, "texts").df
-
-    def tokens(ids: DataFrame) -> DataFrame:
-        return texts_of(ids).mapInArrow(_tokens(n), "id long, token array<long>").select("id", F.explode("token").alias("token"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(confirmed(n, percent), "a long, b long")
+        want = ids.join(classes.select("id", F.col("rep").alias("doc_id")), "id")
+        return docs.join(want, "doc_id").select("id", "text").mapInArrow(_own_sets(n), "id long, text string").dropDuplicates(["id"])
 
-    _, comps = linked(units, "keys", alike, confirm, tokens, carry, percent)
+    _, comps = linked(units, "keys", alike, texts_of, carry, n, percent)
     roots = classes.join(comps, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
     low = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = roots.join(low, "root").select("id", "component_id")

@@ -5,16 +5,16 @@
    confirmed by exact Jaccard on full sets; components of links are clusters. 16 bands of 3 rows miss a pair
    at similarity 0.8 with probability 1e-5.
 2. A passage may sit in the middle of a paragraph. Every run of GUARANTEE words that two documents share,
-   wherever it stands, is found by winnowing: of all windows of MIN_WORDS words that start within the same
-   GUARANTEE - MIN_WORDS + 1 places the one of least hash is kept (one minimum a place: MinHash of a row), and
-   equal windows are joined. 64-bit hashes of MIN_WORDS words stand for them.
+   wherever it stands, is found by winnowing: of all windows of WINDOW words that start within the same
+   GUARANTEE - WINDOW + 1 places the one of least hash is kept (one minimum a place: MinHash of a row), and
+   equal windows are joined. 64-bit hashes of WINDOW words stand for them.
 3. Clusters of paragraphs and of windows of more than one document are repeats: what the document of the
    smallest doc_id holds of one stays; what the others hold are removals.
 
 Result: a row for each row of docs: doc_id, n_words, n_paragraphs, n_links (repeated clusters and windows it
 holds), n_removed (words covered by removals), repeats (n_links > 0), sources (the doc_ids that keep
 them, sorted), component_id (the smallest doc_id reachable over shared passages), spans (removed words,
-[first, end) pairs in one list; up to GUARANTEE - MIN_WORDS words at either end of a run may stay).
+[first, end) pairs in one list; up to GUARANTEE - WINDOW words at either end of a run may stay).
 
 Nulls and edges: a null or short text has no links; rows of a null doc_id link with nothing; rows of one id
 count as one document and carry the same links; an empty table gives no rows; other columns aren't read;
@@ -32,21 +32,30 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import Staged, settle, stage, table
 from corpusql.llm.graph import components
 from corpusql.llm.lsh import linked, similarity
-from corpusql.llm.minhash import confirmed
-from corpusql.llm.words import MinHash, grams, mix, pack_low_bits, set_hash, shingle_set, shingle_sets, word_hashes
+from corpusql.llm.words import MinHash, grams, pack_low_bits, set_hash, shingle_set, word_hashes
 
-MIN_WORDS, GUARANTEE = 25, 50
+MIN_WORDS, WINDOW, GUARANTEE = 25, 25, 50
 BANDS, ROWS, BITS, MARGIN, SHINGLE, PERCENT = 16, 3, 4, 0.3, 5, 80
 SIG = BANDS * ROWS * BITS // 64
 
 
+def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
+    """The least (or, with np.maximum, the greatest) of each n neighbours, by doubling."""
+    have = 1
+    while 2 * have <= n:
+        x = least(x[:-have], x[have:])
+        have *= 2
+    return least(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
+
+
 def winnow(h: np.ndarray, places: int) -> np.ndarray:
-    """Indices of the least hash (the last of equals) within each ``places`` neighbours; all of them fall within one if fewer."""
-    if len(h) <= places:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, np.int64)
-    v = np.lib.stride_tricks.sliding_window_view(h[::-1], places)
-    at = np.arange(len(v)) + np.argmin(v, axis=1)
-    return np.unique(len(h) - 1 - at)
+    """Indices of the least hashes (all, if equal) within each ``places`` neighbours; all of them fall within one if fewer."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    places = min(places, len(h))
+    low = _sliding(h, places, np.minimum)
+    edge = np.zeros(places - 1, h.dtype)
+    return np.flatnonzero(h == _sliding(np.concatenate([edge, low, edge]), places, np.maximum))
 
 
 def _units(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
@@ -61,23 +70,43 @@ def _units(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[int
 
 
 
+UNIT = "kind int, doc_id long, id long, first long, words long, size long, keys array<long>, sig array<long>"
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document (at: words, id: paragraphs); 1: a paragraph; 2: a window. (id, first word, words, size of the set)"""
+    """kind 0: a document (id: paragraphs); 1: a paragraph, with band keys and signature; 2: a window."""
+    family = MinHash(BANDS, ROWS, seed=11)
+    names = [c.split()[0] for c in UNIT.split(", ")]
     for x in batches:
-        cols: list[list[int]] = [[], [], [], [], [], []]
+        plain: list[tuple[int, ...]] = []
+        sets, owners = [], []
+        windows = [[np.zeros(0, np.int64)] for _ in range(3)]
         for d, (h, paragraphs) in zip(x["doc_id"].to_pylist(), _units(x["text"].to_pylist()), strict=True):
-            rows = [(0, d, len(paragraphs), 0, len(h), 0)]
-            if d is not None:
-                for first, p in paragraphs:
-                    s = shingle_set(p, SHINGLE)
-                    rows.append((1, d, set_hash(s), first, len(p), len(s)))
-                g = grams(h, MIN_WORDS)
-                at = winnow(g, GUARANTEE - MIN_WORDS + 1)
-                for k, v in zip(at.tolist(), mix(g[at]).view(np.int64).tolist(), strict=True):
-                    rows.append((2, d, v, k, MIN_WORDS, 0))
-            for c, v in zip(cols, zip(*rows, strict=True), strict=True):
-                c.extend(v)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["kind", "doc_id", "id", "first", "words", "size"])
+            plain.append((d, len(paragraphs), len(h)))
+            if d is None:
+                continue
+            for first, p in paragraphs:
+                sets.append(shingle_set(p, SHINGLE))
+                owners.append((d, first, len(p)))
+            g = grams(h, WINDOW)
+            at = winnow(g, GUARANTEE - WINDOW + 1)
+            for w, v in zip(windows, (np.full(len(at), d), g[at].view(np.int64), at), strict=True):
+                w.append(v)
+        minima = family.minima(sets) if sets else np.zeros((0, BANDS * ROWS), np.uint32)
+        docs, ids, firsts = (np.concatenate(w) for w in windows)
+        a, b, c = len(plain), len(sets), len(docs)
+        cols = [
+            pa.array(np.repeat(np.array([0, 1, 2], np.int32), [a, b, c])),
+            pa.array([d for d, *_ in plain] + [d for d, *_ in owners] + docs.tolist(), pa.int64()),
+            pa.array(np.concatenate([np.array([n for _, n, _ in plain], np.int64), np.array([set_hash(s) for s in sets], np.int64), ids])),
+            pa.array(np.concatenate([np.zeros(a, np.int64), np.array([f for _, f, _ in owners], np.int64), firsts])),
+            pa.array(np.concatenate([np.array([n for *_, n in plain], np.int64), np.array([n for *_, n in owners], np.int64), np.full(c, WINDOW)])),
+            pa.array(np.concatenate([np.zeros(a, np.int64), np.array([len(s) for s in sets], np.int64), np.zeros(c, np.int64)])),
+        ]
+        for v in (family.keys(minima), pack_low_bits(minima, BITS)):
+            n = np.concatenate([np.zeros(a, np.int32), np.full(b, v.shape[1], np.int32), np.zeros(c, np.int32)])
+            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v.ravel())))
+        yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,31 +125,9 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text): each paragraph's id, size, band keys and signature."""
-    family = MinHash(BANDS, ROWS, seed=11)
-    for x in batches:
-        docs, sets = [], []
-        for d, (_, paragraphs) in zip(x["doc_id"].to_pylist(), _units(x["text"].to_pylist()), strict=True):
-            for _, p in paragraphs if d is not None else ():
-                docs.append(d)
-                sets.append(shingle_set(p, SHINGLE))
-        minima = family.minima(sets) if sets else np.zeros((0, BANDS * ROWS), np.uint32)
-        keys, sig = family.keys(minima), pack_low_bits(minima, BITS)
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in (keys, sig)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *lists], ["doc_id", "id", "size", "keys", "sig"])
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(x["text"].to_pylist(), SHINGLE)]
-        yield pa.RecordBatch.from_arrays([x["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "token"])
-
-
-def _clusters(docs: DataFrame) -> DataFrame:
+def _clusters(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(id, root) of linked classes of paragraphs."""
-    sketched = docs.mapInArrow(_sketch, "doc_id long, id long, size long, keys array<long>, sig array<long>")
-    classes = Staged(sketched.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "paragraphs").df
+    classes = Staged(scanned.where("kind = 1").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "paragraphs").df
     units = classes.select("id", "size", "keys", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIG)))
 
     def alike(x: str, y: str):
@@ -130,32 +137,24 @@ def _clusters(docs: DataFrame) -> DataFrame:
 
     def texts_of(ids: DataFrame) -> DataFrame:
         want = ids.join(classes.select("id", "rep"), "id").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("id").alias("ids"))
-        return Staged(docs.join(want, "doc_id").select("text", "ids").mapInArrow(_wanted, "id long, text string").dropDuplicates(["id"]), "texts").df
-
-    def tokens(ids: DataFrame) -> DataFrame:
-        return texts_of(ids).mapInArrow(_shingles, "id long, token array<long>").select("id", F.explode("token").alias("token"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(confirmed(SHINGLE, PERCENT), "a long, b long")
+        return docs.join(want, "doc_id").select("text", "ids").mapInArrow(_wanted, "id long, text string").dropDuplicates(["id"])
 
-    return linked(units, "keys", alike, confirm, tokens, ["size", *(f"s{k}" for k in range(SIG))], PERCENT)[1]
+    return linked(units, "keys", alike, texts_of, ["size", *(f"s{k}" for k in range(SIG))], SHINGLE, PERCENT)[1]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """See above."""
     settle(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    units = Staged(docs.mapInArrow(_scan, "kind int, doc_id long, id long, first long, words long, size long"), "units").df
-    comps = _clusters(docs)
-    paragraphs = units.where("kind = 1").join(comps, "id", "left").select("kind", F.coalesce("root", "id").alias("group"), "doc_id", "first", "words")
-    held = paragraphs.unionByName(units.where("kind = 2").select("kind", F.col("id").alias("group"), "doc_id", "first", "words"))
-    seen = held.groupBy("kind", "group").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept < most").select("kind", "group", "kept")
-    found = Staged(held.join(seen, ["kind", "group"]).select("kind", "group", "doc_id", "first", "words", "kept"), "repeats").df
+    units = Staged(docs.mapInArrow(_scan, UNIT), "units").df
+    comps = _clusters(docs, units)
+    paragraphs = units.where("kind = 1").select("id", "doc_id", "first", "words").join(comps, "id", "left").select(F.coalesce("root", "id").alias("passage"), "doc_id", "first", "words")
+    held = paragraphs.unionByName(units.where("kind = 2").select(F.col("id").alias("passage"), "doc_id", "first", "words"))
+    seen = held.groupBy("passage").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept < most").select("passage", "kept")
+    found = Staged(held.join(seen, "passage").select("passage", "doc_id", "first", "words", "kept"), "repeats").df
     joined = stage(components(found.select(F.col("doc_id").alias("a"), F.col("kept").alias("b"))), "documents")
     removed = F.when(F.col("doc_id") > F.col("kept"), F.struct("first", (F.col("first") + F.col("words")).alias("end")))
-    of = found.groupBy("doc_id").agg(F.count_distinct("kind", "group").alias("n_links"), F.array_sort(F.collect_set("kept")).alias("sources"), F.array_sort(F.collect_set(removed)).alias("spans"))
+    of = found.groupBy("doc_id").agg(F.count_distinct("passage").alias("n_links"), F.array_sort(F.collect_set("kept")).alias("sources"), F.array_sort(F.collect_set(removed)).alias("spans"))
     merged = (
         "aggregate(spans, cast(array() as array<bigint>), (s, x) -> case when size(s) > 0 and x.first <= s[size(s) - 1] "
         "then concat(slice(s, 1, size(s) - 1), array(greatest(s[size(s) - 1], x.end))) else concat(s, array(x.first, x.end)) end)"
