@@ -35,8 +35,8 @@ from corpusql.llm.lsh import linked, similarity
 from corpusql.llm.words import MinHash, grams, pack_low_bits, set_hash, shingle_set, word_hashes
 
 MIN_WORDS, WINDOW, GUARANTEE = 25, 25, 50
-BANDS, ROWS, BITS, MARGIN, SHINGLE, PERCENT = 16, 3, 4, 0.3, 5, 80
-SIG = BANDS * ROWS * BITS // 64
+BANDS, ROWS, MINIMA, BITS, MARGIN, SHINGLE, PERCENT = 16, 3, 96, 4, 0.2, 5, 80
+SIG = MINIMA * BITS // 64
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -75,7 +75,7 @@ UNIT = "kind int, doc_id long, id long, first long, words long, size long, keys
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a document (id: paragraphs); 1: a paragraph, with band keys and signature; 2: a window."""
-    family = MinHash(BANDS, ROWS, seed=11)
+    family = MinHash(BANDS, ROWS, seed=11, total=MINIMA)
     names = [c.split()[0] for c in UNIT.split(", ")]
     for x in batches:
         plain: list[tuple[int, ...]] = []
@@ -92,7 +92,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = winnow(g, GUARANTEE - WINDOW + 1)
             for w, v in zip(windows, (np.full(len(at), d), g[at].view(np.int64), at), strict=True):
                 w.append(v)
-        minima = family.minima(sets) if sets else np.zeros((0, BANDS * ROWS), np.uint32)
+        minima = family.minima(sets) if sets else np.zeros((0, MINIMA), np.uint32)
         docs, ids, firsts = (np.concatenate(w) for w in windows)
         a, b, c = len(plain), len(sets), len(docs)
         cols = [

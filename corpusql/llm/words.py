@@ -104,13 +104,13 @@ def set_hash(s: np.ndarray) -> int:
 
 
 class MinHash:
-    """Minima of ``bands * rows`` permutations, x -> a x + c over 32-bit hashes, and the keys of their bands."""
+    """Minima of ``total`` permutations, x -> a x + c over 32-bit hashes, and keys of bands of the first of them."""
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, seed: int = 7, total: int = 0):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.c = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+        self.bands, self.rows, total = bands, rows, total or bands * rows
+        self.a = rng.integers(0, 2**31, total, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.c = rng.integers(0, 2**32, total, dtype=np.uint32)
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
         """A row for each set; none may be empty. Sets go through in groups that fit a core's cache."""
@@ -134,7 +134,7 @@ class MinHash:
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """The band keys, signed 64-bit: a row for each set, a column for each band."""
-        m = minima.reshape(len(minima), self.bands, self.rows).astype(np.uint64)
+        m = minima[:, : self.bands * self.rows].reshape(len(minima), self.bands, self.rows).astype(np.uint64)
         key = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), m.shape[:2]).copy()
         for r in range(self.rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
