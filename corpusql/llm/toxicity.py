@@ -77,25 +77,33 @@ class Model:
         return out
 
 
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and how often each occurs."""
+    parts = list(buckets(text))
+    if not parts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.unique(np.concatenate(parts), return_counts=True)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
     """Embeddings E (2^BITS x DIM) and softmax W (DIM x 2), b by Adam on cross-entropy; rare n-grams aren't learned."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), {(): 0.0, (0,): -6.0, (1,): 6.0}[tuple(set(labels))])
-    kinds, counts, n = [], [], []
-    for t in texts:
-        parts = list(buckets(t))
-        k, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        kinds.append(k.astype(np.int32))
-        counts.append(c.astype(np.float32))
-        n.append(c.sum() + SMOOTH)
-    df = np.bincount(np.concatenate(kinds), minlength=1 << BITS)
+    df = np.zeros(1 << BITS, np.int32)
+    for t in texts:  # n-grams are made twice, so that those which aren't learned are never held
+        for k in _counted(t)[:1]:
+            df[k] += 1
     new = np.full(1 << BITS, -1, np.int32)
     known = np.flatnonzero(df >= max(2, RARE * len(texts)))
     new[known] = np.arange(len(known))
-    for i, k in enumerate(kinds):
+    kinds, counts, n = [], [], np.zeros(len(texts), np.float32)
+    for i, t in enumerate(texts):
+        k, c = _counted(t)
+        n[i] = c.sum() + SMOOTH
         at = new[k]
-        kinds[i], counts[i] = at[at >= 0], counts[i][at >= 0] / n[i]
+        kinds.append(at[at >= 0])
+        counts.append(np.minimum(c[at >= 0], 255).astype(np.uint8))
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (len(known), DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -109,8 +117,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
             sizes = np.array([len(kinds[d]) for d in docs])
-            ids, x = np.concatenate([kinds[d] for d in docs]), np.concatenate([counts[d] for d in docs]) * scale
+            ids, x = np.concatenate([kinds[d] for d in docs]), np.concatenate([counts[d] for d in docs])
             of = np.repeat(np.arange(len(docs)), sizes)
+            x = x * (scale / n[docs])[of]
             h = np.stack([np.bincount(of, weights=e[ids, j] * x, minlength=len(docs)) for j in range(DIM)], axis=1).astype(np.float32)
             z = h @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -151,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in chosen.collect()], "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic")
     got = rows.toArrow()  # at most ``sample`` rows, whole texts
-    model = train(got["text"].to_pylist(), got["toxic"].to_pylist())
+    texts, toxic = got["text"].to_pylist(), got["toxic"].to_pylist()
+    del got
+    model = train(texts, toxic)
     if all(room.values()):
         model.bias += float(np.log(counts[1] / counts[0]) - np.log(room[1] / room[0]))
     return model
