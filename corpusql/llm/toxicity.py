@@ -16,6 +16,7 @@ doc_id and text are read, and doc_id only for held_out."""
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import settle, table
 from corpusql.llm.words import BY_LETTER, SEGMENT
 
-BITS, DIM, SAMPLE, EPOCHS, BATCH, RATE = 18, 8, 12_000, 8, 64, 0.03
+BITS, DIM, SAMPLE, EPOCHS, BATCH, RATE = 18, 8, 8_000, 8, 64, 0.03
 STEPS = 500
 #: Texts that an n-gram needs to be learned (a share of the sample, 2 at least), and the decay of its vector at each step that leaves it alone.
 RARE, DECAY = 0.0004, 0.2
@@ -98,8 +99,10 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
     known = np.flatnonzero(df >= max(2, RARE * len(texts)))
     new[known] = np.arange(len(known))
     kinds, counts, n = [], [], np.zeros(len(texts), np.float32)
-    for i, t in enumerate(texts):
-        k, c = _counted(t)
+    texts = list(texts)
+    for i in range(len(texts)):
+        k, c = _counted(texts[i])
+        texts[i] = ""
         n[i] = c.sum() + SMOOTH
         at = new[k]
         kinds.append(at[at >= 0])
@@ -162,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.toArrow()  # at most ``sample`` rows, whole texts
     texts, toxic = got["text"].to_pylist(), got["toxic"].to_pylist()
     del got
+    pa.default_memory_pool().release_unused()
     model = train(texts, toxic)
+    del texts
+    gc.collect()
     if all(room.values()):
         model.bias += float(np.log(counts[1] / counts[0]) - np.log(room[1] / room[0]))
     return model
