@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[a-z0-9]+|[一-鿿]"
 _ASCII = re.compile(r"[a-z0-9]+\Z")
@@ -23,7 +24,7 @@ def normalize_text(s: str, case_sensitive: bool = False) -> str:
     return out if case_sensitive else out.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_full(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Full Unicode normalisation, Arrow-batched; nulls stay null."""
     for t in texts:

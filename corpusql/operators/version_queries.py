@@ -22,13 +22,16 @@ def query(sql: str | None = None):
     return add
 
 
-BY_DOC = W.partitionBy("doc_id").orderBy("ts", "version_id")
+def by_doc():
+    return W.partitionBy("doc_id").orderBy("ts", "version_id")
+
+
 #: A branch for each document of an odd id above 1: its parent is the id before, from that document's 20th version.
 BRANCHES = "branches AS (SELECT v.doc_id + 1 AS doc_id, v.doc_id AS parent, v.version_id AS base, v.ts AS base_ts FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, version_id) AS k FROM versions) v WHERE k = 20 AND v.doc_id % 2 = 0)"
 
 
 def branches(v):
-    k = v.withColumn("k", F.row_number().over(BY_DOC)).where("k = 20 and doc_id % 2 = 0")
+    k = v.withColumn("k", F.row_number().over(by_doc())).where("k = 20 and doc_id % 2 = 0")
     return k.select((F.col("doc_id") + 1).alias("doc_id"), F.col("doc_id").alias("parent"), F.col("version_id").alias("base"), F.col("ts").alias("base_ts"))
 
 
@@ -45,15 +48,15 @@ def sprint_72h(spark, d):
 SELECT doc_id, max(abs(dp)) AS biggest_pages, max(abs(ds)) AS biggest_size, round(max(gap), 3) AS revival, count(*) FILTER (dp > 0) AS grew, count(*) FILTER (dp < 0) AS shrank FROM l GROUP BY 1""")
 def version_deltas(spark, d):
     v = A.versions(spark, d)
-    v = v.select("doc_id", *((F.col(c) - F.lag(c).over(BY_DOC)).alias(n) for c, n in [("page_count", "dp"), ("size", "ds"), ("ts", "gap")]))
+    v = v.select("doc_id", *((F.col(c) - F.lag(c).over(by_doc())).alias(n) for c, n in [("page_count", "dp"), ("size", "ds"), ("ts", "gap")]))
     return v.groupBy("doc_id").agg(F.max(F.abs("dp")).alias("biggest_pages"), F.max(F.abs("ds")).alias("biggest_size"), F.round(F.max("gap"), 3).alias("revival"), F.count_if(F.col("dp") > 0).alias("grew"), F.count_if(F.col("dp") < 0).alias("shrank"))
 
 
 @query(f"""WITH {VC}, l AS (SELECT *, page_count - lag(page_count) OVER (PARTITION BY doc_id ORDER BY ts, version_id) AS dp FROM versions), s AS (SELECT *, sign(dp) <> lag(sign(dp)) OVER (PARTITION BY doc_id ORDER BY ts, version_id) AS flip FROM l WHERE dp <> 0)
 SELECT doc_id, count(*) FILTER (flip) AS flips FROM s GROUP BY 1""")
 def flip_flops(spark, d):
-    v = A.versions(spark, d).withColumn("dp", F.col("page_count") - F.lag("page_count").over(BY_DOC)).where("dp <> 0")
-    return v.withColumn("flip", F.signum("dp") != F.lag(F.signum("dp")).over(BY_DOC)).groupBy("doc_id").agg(F.count_if("flip").alias("flips"))
+    v = A.versions(spark, d).withColumn("dp", F.col("page_count") - F.lag("page_count").over(by_doc())).where("dp <> 0")
+    return v.withColumn("flip", F.signum("dp") != F.lag(F.signum("dp")).over(by_doc())).groupBy("doc_id").agg(F.count_if("flip").alias("flips"))
 
 
 @query(f"""WITH {VC} SELECT doc_id, arg_min(page_count, struct_pack(a := ts, b := version_id)) AS first_pages, arg_max(page_count, struct_pack(a := ts, b := version_id)) AS last_pages, count(*) AS n FROM versions GROUP BY 1""")
@@ -64,17 +67,17 @@ def growth_balance(spark, d):
 
 def sessions(v):
     """Adds session: a number that grows with each gap of half an hour or more since the version before."""
-    new = F.when(F.col("ts") - F.lag("ts").over(BY_DOC) < 1800, 0).otherwise(1)
-    return v.withColumn("new", new).withColumn("session", F.sum("new").over(BY_DOC)).drop("new")
+    new = F.when(F.col("ts") - F.lag("ts").over(by_doc()) < 1800, 0).otherwise(1)
+    return v.withColumn("new", new).withColumn("session", F.sum("new").over(by_doc())).drop("new")
 
 
 _SESSIONS = "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < 1800 THEN 0 ELSE 1 END AS new FROM versions WINDOW w AS (PARTITION BY doc_id ORDER BY ts, version_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ts, version_id) AS session FROM g)"
 
 
-@query(f"WITH {VC}, {_SESSIONS} SELECT doc_id, strftime(min(at), 's%Y%m%d-%H%M') AS session_id, count(*) AS n FROM s GROUP BY doc_id, session")
+@query(f"WITH {VC}, {_SESSIONS} SELECT doc_id, concat('s', strftime(min(\"at\"), '%Y%m%d-%H%M')) AS session_id, count(*) AS n FROM s GROUP BY doc_id, session")
 def sessions_30m(spark, d):
     s = sessions(A.versions(spark, d))
-    return s.groupBy("doc_id", "session").agg(F.date_format(F.min("at"), "'s'yyyyMMdd-HHmm").alias("session_id"), F.count("*").alias("n")).drop("session")
+    return s.groupBy("doc_id", "session").agg(F.concat(F.lit("s"), F.date_format(F.min("at"), "yyyyMMdd-HHmm")).alias("session_id"), F.count("*").alias("n")).drop("session")
 
 
 @query(f"""WITH {VC}, {BRANCHES}, own AS (SELECT doc_id, version_id, ts, health, false AS inherited FROM versions), inh AS (SELECT b.doc_id, v.version_id, v.ts, v.health, true FROM branches b JOIN versions v ON v.doc_id = b.parent AND (v.ts < b.base_ts OR (v.ts = b.base_ts AND v.version_id <= b.base)))
