@@ -2,7 +2,9 @@
 
 First each member of a bucket is paired with the bucket's smallest member alone; confirmed links give
 components. While a turn finds links, a further member of each bucket whose members still lie in several
-components is paired with those of other components. What is then still apart, a few texts that are linked
+components is paired with those of other components. With ``score`` a member is at first held against the most alike head of its buckets
+alone, and in a further turn against the most alike head or pivot of each other component: in a large group of
+near copies the buckets of one member have many heads, and one of them is enough. What is then still apart, a few texts that are linked
 with none they were held against, is paired across components by a prefix filter, which loses no pair of the
 similarity asked for. So a bucket of n copies costs a few times n pairs, and no candidate that could join two components is left out; buckets are never capped."""
 
@@ -65,10 +67,11 @@ def _tokens(n: int):
     return run
 
 
-def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], carry: list[str], n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], carry: list[str], n: int, percent: int, score: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """units(id: long, ``keys``: array<long>, one a band, *carry) -> (links(a, b), components(id, root)).
 
     ``alike(x, y)``: a cheap condition on the carried columns of two aliased rows, which no true link fails.
+    ``score(x, y)``: their estimated similarity, by which the most alike of several heads is chosen; None: all are tried.
     ``texts_of``: the texts (id, text) of some ids, fetched once for all that share a bucket. Links are confirmed
     on the full sets of ``n``-word shingles at ``percent`` Jaccard similarity. They span the components; they aren't all."""
     members = units.select(F.explode(keys).alias("key"), "id")
@@ -80,11 +83,15 @@ def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], tex
     def confirmed(pairs: DataFrame) -> DataFrame:
         p = pairs.distinct()
         p = p.join(side.alias("x"), p.a == F.col("x.id")).join(side.alias("y"), p.b == F.col("y.id"))
-        p = stage(p.where(alike("x", "y")).select("a", "b"), "pairs")
+        p = p.where(alike("x", "y"))
+        if score is not None and "of" in pairs.columns:
+            p = p.groupBy("b", "of").agg(F.max_by("a", F.struct(score("x", "y"), -F.col("a"))).alias("a"))
+        p = stage(p.select("a", "b"), "pairs")
         p = p.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         return stage(p.select("a", "b", "x", "y").mapInArrow(_confirmed(n, percent), "a long, b long"), "links")
 
-    links = confirmed(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    all_of_one = [] if score is None else [F.lit(0).cast("long").alias("of")]
+    links = confirmed(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), *all_of_one))
     comps = stage(components(links), "components")
     for turn in range(1, TURNS + 2):
         rooted = shared.join(comps, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -97,9 +104,14 @@ def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], tex
         if not last:
             # another member, by a hash that changes with the turn, stands for each open bucket
             pick = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn)))
-            pivots = unsettled.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.root").alias("of"))
-            met = unsettled.join(pivots, "key").where("root <> of")
-            more = confirmed(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+            pivots = unsettled.groupBy("key").agg(pick.alias("p"), F.min(F.struct("id", "root")).alias("h"))
+            if score is not None:
+                pivots = pivots.select("key", F.explode(F.array_distinct(F.array("p", "h"))).alias("p"))
+            met = unsettled.join(pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.root").alias("of")), "key").where("root <> of")
+            if score is None:
+                more = confirmed(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+            else:
+                more = confirmed(met.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "of"))
             last = more.isEmpty()
         if last:
             left = unsettled.select("id", "root").distinct()

@@ -130,16 +130,18 @@ def _clusters(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     classes = Staged(scanned.where("kind = 1").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "paragraphs").df
     units = classes.select("id", "size", "keys", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIG)))
 
+    def score(x: str, y: str):
+        return similarity(*([F.col(f"{t}.s{k}") for k in range(SIG)] for t in (x, y)), BITS)
+
     def alike(x: str, y: str):
         a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
-        words = [[F.col(f"{t}.s{k}") for k in range(SIG)] for t in (x, y)]
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (similarity(*words, BITS) >= PERCENT / 100 - MARGIN)
+        return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (score(x, y) >= PERCENT / 100 - MARGIN)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         want = ids.join(classes.select("id", "rep"), "id").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("id").alias("ids"))
         return docs.join(want, "doc_id").select("text", "ids").mapInArrow(_wanted, "id long, text string").dropDuplicates(["id"])
 
-    return linked(units, "keys", alike, texts_of, ["size", *(f"s{k}" for k in range(SIG))], SHINGLE, PERCENT)[1]
+    return linked(units, "keys", alike, texts_of, ["size", *(f"s{k}" for k in range(SIG))], SHINGLE, PERCENT, score)[1]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
