@@ -1,9 +1,10 @@
 """Substring dedup: passages that documents share, as paragraphs alike or as exact runs inside longer ones.
 
-1. Paragraphs (lines of MIN_WORDS words or more) become sets of five-word shingles. Paragraphs of equal sets
-   are one class; each class gets minima in BANDS bands of ROWS; colliding paragraphs are joined (see lsh) and
-   confirmed by exact Jaccard on full sets; components of links are clusters. 16 bands of 3 rows miss a pair
-   at similarity 0.8 with probability 1e-5.
+1. Paragraphs (all lines that aren't blank) become sets of five-word shingles; of fewer words the whole line is
+   one. Paragraphs of equal sets are one class, however short; each class gets minima in BANDS bands of ROWS;
+   colliding paragraphs are joined (see lsh) and confirmed by exact Jaccard on full sets; components of links
+   are clusters. 16 bands of 3 rows miss a pair at similarity 0.8 with probability 1e-5. Sets of fewer than
+   LEAST shingles can't be PERCENT alike unless they are equal, so they need no minima.
 2. A passage may sit in the middle of a paragraph. Every run of GUARANTEE words that two documents share,
    wherever it stands, is found by winnowing: of all windows of WINDOW words that start within the same
    GUARANTEE - WINDOW + 1 places the one of least hash is kept (one minimum a place: MinHash of a row), and
@@ -34,9 +35,11 @@ from corpusql.llm.graph import components
 from corpusql.llm.lsh import linked, similarity
 from corpusql.llm.words import MinHash, grams, pack_low_bits, set_hash, shingle_set, word_hashes
 
-MIN_WORDS, WINDOW, GUARANTEE = 25, 25, 50
+WINDOW, GUARANTEE = 25, 50
 BANDS, ROWS, MINIMA, BITS, MARGIN, SHINGLE, PERCENT = 16, 3, 96, 4, 0.2, 5, 80
 SIG = MINIMA * BITS // 64
+#: Of two sets that differ and are PERCENT alike, the smaller one has LEAST shingles or more.
+LEAST = -(-PERCENT // (100 - PERCENT))
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -65,7 +68,7 @@ def _units(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[int
     k = 0
     for ls in lines:
         first, end = at[k], at[k + len(ls)]
-        yield h[first:end], [(int(at[i] - first), h[at[i] : at[i + 1]]) for i in range(k, k + len(ls)) if at[i + 1] - at[i] >= MIN_WORDS]
+        yield h[first:end], [(int(at[i] - first), h[at[i] : at[i + 1]]) for i in range(k, k + len(ls)) if at[i + 1] > at[i]]
         k += len(ls)
 
 
@@ -74,7 +77,7 @@ UNIT = "kind int, doc_id long, id long, first long, words long, size long, keys
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document (id: paragraphs); 1: a paragraph, with band keys and signature; 2: a window."""
+    """kind 0: a document (id: paragraphs); 1: a paragraph, with band keys and signature if its set has LEAST shingles; 2: a window."""
     family = MinHash(BANDS, ROWS, seed=11, total=MINIMA)
     names = [c.split()[0] for c in UNIT.split(", ")]
     for x in batches:
@@ -92,7 +95,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = winnow(g, GUARANTEE - WINDOW + 1)
             for w, v in zip(windows, (np.full(len(at), d), g[at].view(np.int64), at), strict=True):
                 w.append(v)
-        minima = family.minima(sets) if sets else np.zeros((0, MINIMA), np.uint32)
+        signed = [s for s in sets if len(s) >= LEAST]
+        minima = family.minima(signed) if signed else np.zeros((0, MINIMA), np.uint32)
         docs, ids, firsts = (np.concatenate(w) for w in windows)
         a, b, c = len(plain), len(sets), len(docs)
         cols = [
@@ -104,7 +108,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(np.concatenate([np.zeros(a, np.int64), np.array([len(s) for s in sets], np.int64), np.zeros(c, np.int64)])),
         ]
         for v in (family.keys(minima), pack_low_bits(minima, BITS)):
-            n = np.concatenate([np.zeros(a, np.int32), np.full(b, v.shape[1], np.int32), np.zeros(c, np.int32)])
+            n = np.concatenate([np.zeros(a, np.int32), np.array([v.shape[1] * (len(s) >= LEAST) for s in sets], np.int32), np.zeros(c, np.int32)])
             cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v.ravel())))
         yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -118,7 +122,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             want = set(want)
             h, at = word_hashes(lines)
             for i, line in enumerate(lines):
-                if at[i + 1] - at[i] >= MIN_WORDS and (k := set_hash(shingle_set(h[at[i] : at[i + 1]], SHINGLE))) in want:
+                if at[i + 1] - at[i] >= LEAST + SHINGLE - 1 and (k := set_hash(shingle_set(h[at[i] : at[i + 1]], SHINGLE))) in want:
                     want.discard(k)
                     ids.append(k)
                     texts.append(line)
@@ -126,8 +130,8 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _clusters(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(id, root) of linked classes of paragraphs."""
-    classes = Staged(scanned.where("kind = 1").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "paragraphs").df
+    """(id, root) of linked classes of paragraphs; classes of smaller sets link with none."""
+    classes = Staged(scanned.where(f"kind = 1 and size >= {LEAST}").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "paragraphs").df
     units = classes.select("id", "size", "keys", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIG)))
 
     def alike(x: str, y: str):

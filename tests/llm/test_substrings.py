@@ -77,3 +77,27 @@ def test_winnowing_keeps_a_window_of_every_shared_run():
     for _ in range(50):
         a, b = (np.concatenate([r.integers(0, 2**63, int(r.integers(0, 90))).astype(np.uint64), run, r.integers(0, 2**63, int(r.integers(0, 90))).astype(np.uint64)]) for _ in range(2))
         assert {*a[winnow(a, 26)].tolist()} & {*b[winnow(b, 26)].tolist()} & {*run.tolist()}
+
+
+def test_short_paragraphs_equal_brute_force_without_a_floor(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    line = lambda n: [word() for _ in range(n)]
+    shared = {n: line(n) for n in (1, 4, 5, 8, 24)}
+    near = line(24)
+    wrapped = [line(12) for _ in range(8)]
+    rows = [(1, " ".join(line(30)))]
+    for n, w in shared.items():
+        rows += [(10 * n + k, "\n".join([" ".join(line(30)), " ".join(w), " ".join(line(9))])) for k in (0, 1)]
+    rows += [(300, " ".join(near)), (301, " ".join([*near[:-1], word()]) + "\n" + " ".join(line(7)))]  # 19 of 21 shingles
+    for d in (400, 401):  # an edit in every other line: no run of 25 words is left
+        rows.append((d, "\n".join(" ".join(w if k % 2 else [*w[:6], word(), *w[7:]]) for k, w in enumerate(wrapped))))
+    sets = {d: [{tuple(p[k : k + 5]) for k in range(max(1, len(p) - 4))} for p in (x.split() for x in t.split("\n"))] for d, t in rows}
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])]
+    out = {x.doc_id: x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pairs == [(10 * n, 10 * n + 1) for n in shared] + [(300, 301), (400, 401)]
+    assert {d: x.component_id for d, x in out.items()} == {d: dict((b, a) for a, b in pairs).get(d, d) for d in out}
+    assert {d for d, x in out.items() if x.repeats} == {d for p in pairs for d in p}
+    for n in shared:
+        assert (out[10 * n].n_removed, out[10 * n + 1].n_removed, list(out[10 * n + 1].spans)) == (0, n, [30, 30 + n])
+    assert out[401].n_removed == 48
