@@ -1,9 +1,11 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directories.
 
-1. Every line of every text that holds a cue (license, copyright, SPDX, ...) is a header; a file whose words
-   lie mostly in such lines, or which is named so, is a licence file. Whole texts are read.
+1. Headers are lines that hold a cue (license, copyright, SPDX, a template's first words, ...), and, as notices
+   are wrapped, every run of up to SPAN lines of a block that holds one, and the block; blocks end at lines without
+   letters and digits. A file whose words lie mostly in lines of a cue, or which is named so, is a licence file;
+   the whole text of a licence file is a header too. Whole texts are read.
 2. Headers and templates are sparse vectors over the templates' words, a list of (word, weight) with
-   weight = tf * idf; idf = ln((N + 1) / (df + 1)) + 1 counts headers and templates of the whole corpus, one row a
+   weight = tf * idf; idf = ln((N + 1) / (df + 1)) + 1 counts lines of a cue and templates of the whole corpus, one row a
    word of the templates. A header matches its best template if their cosine is at least COSINE and the
    template's words make up COVER of its own.
 3. A file takes its best header's license. A file without one takes that of the nearest ancestor directory
@@ -25,8 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.common import Staged, table, text_or_empty
 
-COSINE, COVER, MOSTLY = 0.6, 0.6, 0.5
-CUE = r"(?i)licen[cs]e|copyright|\bspdx\b|\bpublic domain\b|\bcreative commons\b|redistribut|\bwarrant(y|ies)\b"
+COSINE, COVER, MOSTLY, SPAN = 0.6, 0.6, 0.5, 8
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z]+)?$"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -47,6 +48,11 @@ TEMPLATES = {
     "proprietary": ["Copyright. All rights reserved.", "Confidential and proprietary. No license is granted; redistribution prohibited."],
 }
 
+_CUES = r"licen[cs]e|copyright|\bspdx\b|\bpublic\s+domain\b|\bcreative\s+commons\b|redistribut|\bwarrant(y|ies)\b"
+#: A template that has none of the cues gives its first four words as one; white space may be a line's end.
+_FIRST = [r"\s+".join(re.escape(w) for w in t.lower().split()[:4]) for ts in TEMPLATES.values() for t in ts if not re.search(_CUES, t.lower())]
+CUE = "(?i)" + "|".join([_CUES, *_FIRST])
+
 
 def template_rows(templates: dict[str, list[str]]) -> list[tuple[int, str, dict[str, int]]]:
     out = []
@@ -60,13 +66,29 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[int, str, dict[
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """file, path, words, cue words and headers (arrays of words) of files(file, path, text)."""
-    lines = F.split(text_or_empty(), "\n")
-    cues = F.filter(lines, lambda x: x.rlike(CUE))
-    df = files.select("file", "path", cues.alias("cues"), F.when(F.size(cues) > 0, F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).otherwise(0).alias("words"))
-    said = F.transform("cues", lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    """file, path, headers (solo: a line of a cue alone, w: words), any and licence_file of files(file, path, text)."""
+    text = text_or_empty()
+    named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False))
+    df = files.select("file", "path", named.alias("named"), F.when(text.rlike(CUE) | named, text).otherwise("").alias("text"))
+    cues = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
+    df = df.select("*", cues.alias("cues"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("words"))
     inside = F.aggregate("cues", F.lit(0), lambda s, x: s + F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))))
-    return df.select("file", "path", said.alias("headers"), (F.col("words") > 0).alias("any"), (F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | ((F.col("words") > 0) & (inside >= MOSTLY * F.col("words")))).alias("licence_file"))
+    df = df.withColumn("licence_file", F.col("named") | ((F.size("cues") > 0) & (inside >= MOSTLY * F.col("words"))))
+    blocks = F.transform(F.filter(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*(?:\n|\z))+"), lambda b: b.rlike(CUE)), lambda b: F.split(b, "\n"))
+
+    def runs(b: Column) -> Column:
+        lengths = F.sequence(F.lit(2), F.greatest(F.least(F.size(b), F.lit(SPAN)), F.lit(2)))
+        at = F.flatten(F.transform(F.sequence(F.lit(1), F.size(b)), lambda i: F.transform(lengths, lambda n: F.array_join(F.slice(b, i, n), "\n"))))
+        return F.array_distinct(F.concat(F.filter(at, lambda x: x.rlike(CUE)), F.array(F.array_join(b, "\n"))))
+
+    wrapped = F.concat(F.flatten(F.transform(blocks, runs)), F.when(F.col("licence_file") & (F.col("text") != ""), F.array("text")).otherwise(F.array().cast("array<string>")))
+    wrapped = F.array_distinct(F.filter(wrapped, lambda x: ~F.array_contains(F.col("cues"), x)))
+
+    def said(lines: Column, solo: bool) -> Column:
+        return F.transform(lines, lambda x: F.struct(F.lit(solo).alias("solo"), F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)).alias("w")))
+
+    heads = F.when(F.col("text") == "", F.array().cast("array<struct<solo: boolean, w: array<string>>>")).otherwise(F.concat(said(F.col("cues"), True), said(wrapped, False)))
+    return df.select("file", "path", heads.alias("headers"), (F.col("text") != "").alias("any"), "licence_file")
 
 
 def declared(units: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
@@ -75,11 +97,12 @@ def declared(units: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
     rows = template_rows(templates)
     vocabulary = sorted({w for *_, words in rows for w in words})  # a bound on what is sent: the templates' words
     known = F.array(*(F.lit(w) for w in vocabulary))
-    lines = units.select("file", F.posexplode("headers").alias("line", "w")).where(F.size("w") > 0)
-    lines = lines.select("file", "line", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(known, x)).alias("w"))
+    lines = units.select("file", F.posexplode("headers").alias("line", "x")).select("file", "line", "x.solo", "x.w").where(F.size("w") > 0)
+    lines = lines.select("file", "line", "solo", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(known, x)).alias("w"))
     lines = Staged(lines.where(F.size("w") > 0), "headers").df
-    n = lines.count() + len(rows)
-    df = dict(lines.select(F.explode(F.array_distinct("w")).alias("x")).groupBy("x").count().collect())
+    alone = lines.where("solo")
+    n = alone.count() + len(rows)
+    df = dict(alone.select(F.explode(F.array_distinct("w")).alias("x")).groupBy("x").count().collect())
     for *_, words in rows:
         for w in words:
             df[w] = df.get(w, 0) + 1

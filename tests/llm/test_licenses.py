@@ -55,3 +55,19 @@ def test_every_template_finds_itself(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "file long, path string, text string")).collect() == []
+
+
+def test_wrapped_notices_and_whole_licence_files(spark):
+    mit = "MIT\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.\n#\nimport os\n"
+    cc = "a note\n---\nThis work is made available under a Creative\nCommons Attribution-ShareAlike 4.0 International\nLicense.\n\n" + "prose of some length " * 20
+    rows = [(1, "m/LICENSE", mit), (2, "m/a.py", "pass"), (3, "p/x.py", mpl), (4, "c/y.txt", cc), (5, "n/LICENSE", "nothing of the kind"), (6, "n/z.py", "pass"), (7, "e/LICENSE", None)]
+    out = {r.file: (r.license, r.how) for r in scan(spark.createDataFrame(rows, "file long, path string, text string")).collect()}
+    assert out == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("MPL-2.0", "header"), 4: ("CC-BY-SA-4.0", "header"), 5: (None, "none"), 6: (None, "none"), 7: (None, "none")}
+
+
+def test_every_template_is_found_as_its_own(spark):
+    rows = [(k, f"d{k}/x", t, n) for k, (n, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts)]
+    wrapped = [(100 + k, f"w{k}/x", "\n".join(" ".join(t.split()[i : i + 6]) for i in range(0, len(t.split()), 6)), n) for k, _, t, n in rows]
+    out = {r.file: r.license for r in scan(spark.createDataFrame([x[:3] for x in rows + wrapped], "file long, path string, text string")).collect()}
+    assert out == {k: n for k, _, _, n in rows + wrapped}
