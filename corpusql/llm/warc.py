@@ -7,7 +7,8 @@ base 32, identifiers name-based UUIDs of the source's identifier, the record's t
 a second run gives the same records. There is no shuffle: records are derived where the response is read.
 
 Text: comments, scripts, styles and the like go; block elements end lines; entities are resolved; white
-space is joined. Whole pages are read.
+space is joined. A head goes as far as it holds what a head can hold, closed or not; of a noscript, template
+or svg that isn't closed only the tag goes. Whole pages are read.
 
 Nulls and edges: a null or empty page gives records of no text; a null URL gives none of that header;
 repeated rows give repeated records; an empty table gives no rows; other columns aren't read."""
@@ -28,7 +29,11 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import settle, table
 
 DATE = "2024-01-01T00:00:00Z"
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][a-zA-Z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<[!?][^>]*>", re.S | re.I)
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+#: What a head can hold: anything else, and <body, ends it.
+_HEAD = rf"<head\b{_ATTRIBUTES}(?:\s+|{_COMMENT}|<(?P<held>title|noscript|template)\b.*?</(?P=held)\s*>|<(?P<raw>script|style)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?:meta|link|base|basefont|bgsound)\b{_ATTRIBUTES})*(?:</head\s*>)?"
+_MARKUP = re.compile(rf"{_COMMENT}|{_HEAD}|<(?P<gone>script|style)\b.*?(?:</(?P=gone)\s*>|\Z)|<(?P<shut>noscript|template|svg(?![^<>]*/>))\b.*?</(?P=shut)\s*>|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9]*){_ATTRIBUTES}|<[!?][^>]*>", re.S | re.I)
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
@@ -46,7 +51,7 @@ def identifier(*parts: str) -> str:
 
 def plain_text(page: str | None) -> str:
     def end(m: re.Match) -> str:
-        return "\n" if m[2] and m[2].lstrip("/").lower() in _BLOCKS else ""
+        return "\n" if m["tag"] and m["tag"].lstrip("/").lower() in _BLOCKS else ""
 
     text = html.unescape(_MARKUP.sub(end, page or ""))
     return "\n".join(x for x in (_SPACES.sub(" ", ln).strip() for ln in text.split("\n")) if x)

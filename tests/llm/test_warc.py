@@ -31,3 +31,15 @@ def test_records_link_and_round_trip(spark):
         assert h["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
         assert base64.b64decode(h["X-Source-Headers"]).decode().startswith("HTTP/1.1 200 OK")
     assert derivatives(r.limit(0)).collect() == []
+
+
+def test_a_page_survives_tags_that_are_not_closed():
+    assert plain_text("<html><head><title>t</title><body><p>all the text</p>") == "all the text"
+    assert plain_text("<head lang=en><meta a='>'><link x><!-- c --><style>p{}</style>\n<script>a</script><p>one<p>two") == "one\ntwo"
+    assert plain_text("<head><title>t</title><body><p>one</p><script>x='</head>'</script><p>two") == "one\ntwo"
+    assert plain_text("<head><title>t</title>words stand in no head") == "words stand in no head"
+    for tag in ("noscript", "template", "svg"):
+        assert plain_text(f"<p>one<{tag} a='b'>two<p>three") == "onetwo\nthree"
+        assert plain_text(f"<p>one<{tag}>gone</{tag} >two") == "onetwo"
+    assert plain_text("<p>one<svg a='b'/>two<svg>gone</svg>three") == "onetwothree"
+    assert plain_text("<p>one<script>gone") == "one" and plain_text("<header>top</header>x") == "top\nx"
