@@ -1,11 +1,11 @@
-"""Histogram sort: shards of near equal bytes, equal texts together, in one exchange.
+"""Histogram sort: shards of near equal bytes, equal texts side by side, in one exchange.
 
 The key of a row is the 64-bit hash of its text. Each round counts, in one aggregation whose result has a row
 an interval, the exact bytes and rows below PROBES candidate keys around every splitter that isn't settled,
 and puts the next probes into the interval that holds the splitter's target. It ends when each splitter is
 within TOLERANCE of a shard's size, or when no key lies between its bounds: then a group of equal texts
-straddles the target and goes to the nearer side. A group larger than a whole shard would leave shards
-uneven whatever the splitters; such a group alone, and no other, is split by doc_id (key = hash, then doc_id).
+straddles the target. If both of its sides are further off than TOLERANCE, it is split by doc_id (key = hash,
+then doc_id); no other group is, and rows of one doc_id and text stay together.
 
 Only then do rows move, once, to (shard, lane); lanes of a hash of doc_id number the rows of a shard in
 parallel whatever group they belong to, and a lane's first slot comes from the counts of lanes, one row each.
@@ -86,15 +86,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.agg(F.sum("size")).first()[0] or 0
     share = total / shards
     cuts = splitters(rows, sorted({round(share * k) for k in range(1, shards)} - {0, total}), total, share * TOLERANCE)
-    large = [c for c in cuts if c.group > share]
-    plain = [c.splitter for c in cuts if c.group <= share]
+    astride = [c for c in cuts if c.group]  # no side of the group is within the tolerance
+    plain = [c.splitter for c in cuts if not c.group]
     key = F.col("key")
-    shard = _rank(key, plain + [c.low for c in large])
-    for low in {c.low for c in large}:  # a group beyond a shard's size: by doc_id
-        inside = [c for c in large if c.low == low]
+    shard = _rank(key, plain + [c.low for c in astride])
+    for low in {c.low for c in astride}:
+        inside = [c for c in astride if c.low == low]
         own = rows.where(key == F.lit(low).cast("long")).where("doc_id is not null")
         ends = splitters(own, [c.target - c.before for c in inside], inside[0].group, share * TOLERANCE, "doc_id")
-        base = sum(p <= low for p in plain) + sum(c.low < low for c in large)
+        base = sum(p <= low for p in plain) + sum(c.low < low for c in astride)
         place = F.coalesce(_rank(F.col("doc_id"), [e.splitter for e in ends if e.splitter < HIGH]), F.lit(0)) + base
         shard = F.when(key == F.lit(low).cast("long"), place).otherwise(shard)
     placed = rows.withColumn("shard", shard.cast("int")).withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int"))

@@ -48,3 +48,18 @@ def test_small_tables(spark):
     out = shard_by_bytes(spark.createDataFrame([(1, "a"), (None, None), (1, "a")], "doc_id long, text string")).collect()
     assert len(out) == 3
     assert sorted((r.shard, r.slot) for r in out) == sorted({(r.shard, r.slot) for r in out})
+
+
+def test_a_smaller_group_across_a_target_is_split_too(spark):
+    r = random.Random(3)
+    rows = [(i, "x" * r.randint(50, 150) + str(i)) for i in range(4000)]
+    rows += [(10_000 + 1000 * g + i, f"copy {g} " * 12) for g in range(12) for i in range(350)]  # of 0.6 shards each: some lie across targets
+    by = check(spark, rows, whole=False, largest=200)
+    sizes = [sum(x.size for x in xs) for xs in by.values()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.008 * sum(sizes) / 8 + 400
+    one = dict(rows)
+    at = defaultdict(set)
+    for s, xs in by.items():
+        for x in xs:
+            at[one[x.doc_id]].add(s)
+    assert sum(len(v) > 1 for v in at.values()) <= 7 and all(len(v) <= 2 for v in at.values())
