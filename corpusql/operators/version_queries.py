@@ -107,6 +107,35 @@ def retention_keep(spark, d):
     return r.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(rank, *newest)).cast("long")).where("place <= 20").select("doc_id", "version_id", "place")
 
 
+#: The reference's quota of healthy versions a document; 0: no limit.
+KEEP = 100
+
+
+def retained(v, keep: int = KEEP):
+    """doc_id, version_id, place, exempt of the versions that stay; place is null where ``exempt`` says why a version doesn't count.
+
+    The newest of each session first, then the newest five sessions, then the rest, up to ``keep``. Bases of
+    branches and versions that aren't healthy stay outside the count."""
+    newest = [F.col("ts").desc(), F.col("version_id").desc()]
+    bases = branches(v).select(F.col("base").alias("version_id")).distinct().withColumn("is_base", F.lit(True))
+    healthy = sessions(v).where("health = 'ok'")
+    r = healthy.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "session").orderBy(*newest))).withColumn("recent", F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.col("session").desc())))
+    rank = F.when(F.col("k") == 1, 0).when(F.col("recent") <= 5, 1).otherwise(2)
+    r = r.join(bases, "version_id", "left").withColumn("exempt", F.when(F.col("is_base"), "branch base"))
+    place = F.row_number().over(W.partitionBy("doc_id", F.col("exempt").isNull()).orderBy(rank, *newest)).cast("long")
+    r = r.withColumn("place", F.when(F.col("exempt").isNull(), place)).where(F.lit(keep <= 0) | F.col("exempt").isNotNull() | (F.col("place") <= keep))
+    out = ["doc_id", "version_id", "place", "exempt"]
+    bad = v.where("health <> 'ok'").select("doc_id", "version_id", F.lit(None).cast("long").alias("place"), F.lit("quarantined").alias("exempt"))
+    return r.select(*out).unionByName(bad)
+
+
+@query(f"""WITH {VC}, {BRANCHES}, {_SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, session ORDER BY ts DESC, version_id DESC) AS k, dense_rank() OVER (PARTITION BY doc_id ORDER BY session DESC) AS recent FROM s WHERE health = 'ok'),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN k = 1 THEN 0 WHEN recent <= 5 THEN 1 ELSE 2 END, ts DESC, version_id DESC) AS place FROM r WHERE version_id NOT IN (SELECT base FROM branches))
+SELECT doc_id, version_id, place, NULL AS exempt FROM p WHERE place <= {KEEP} UNION ALL SELECT doc_id, version_id, NULL, CASE WHEN health = 'ok' THEN 'branch base' ELSE 'quarantined' END FROM versions WHERE health <> 'ok' OR version_id IN (SELECT base FROM branches)""")
+def retention_quota(spark, d):
+    """The reference's whole quota (see retained); retention_keep is the shorter one of 20 without branch bases."""
+    return retained(A.versions(spark, d))
+
 
 @query(r"""WITH p AS (SELECT conv_id AS doc, turn AS page, text FROM conversations) SELECT coalesce(a.doc + 1, b.doc) AS doc, coalesce(a.page, b.page) AS page, CASE WHEN a.page IS NULL THEN 'added' WHEN b.page IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM p a FULL JOIN p b ON a.doc + 1 = b.doc AND a.page = b.page WHERE a.text IS DISTINCT FROM b.text""")

@@ -92,3 +92,16 @@ def test_normalisation(spark):
     assert T.parse_query("“a b” c \"d") == T.Query(["c", "d"], ["a b"])
     r = df.select(T.contains_phrase(F.lit("ai spark"), "AI SP"), T.contains_compact(F.lit("x ai--sp y"), "AI SP"), T.human_bytes(F.lit(1536)), T.human_bytes(F.lit(5))).first()
     assert tuple(r) == (False, True, "1.5 KB", "5 B")
+
+
+def test_retention_keeps_branch_bases_outside_the_count(spark):
+    from corpusql.operators.version_queries import retained
+
+    rows = [(i, 2, 1000.0 * i, "ok" if i != 7 else "invalid") for i in range(1, 201)] + [(1000 + i, 3, 1000.0 * i, "ok") for i in range(1, 31)]
+    v = spark.createDataFrame(rows, "version_id long, doc_id long, ts double, health string")
+    at = lambda keep: {(r.doc_id, r.version_id): (r.place, r.exempt) for r in retained(v, keep).collect()}
+    out = at(100)
+    assert out[2, 20] == (None, "branch base") and out[2, 7] == (None, "quarantined")
+    assert sum(d == 2 and e is None for (d, _), (_, e) in out.items()) == 100 and (2, 101) in out and (2, 19) not in out
+    assert sum(d == 3 for d, _ in out) == 30 and len(at(0)) == len(rows)
+    assert sum(d == 3 for d, _ in at(20)) == 20 and at(20)[2, 20] == (None, "branch base")
