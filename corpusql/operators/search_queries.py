@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql import adapters as A
@@ -49,6 +50,13 @@ def page_titles(spark, d):
     return p.orderBy("page_no").limit(40).select("page_no", F.when(first == "", F.concat(F.lit("第 "), F.col("page_no"), F.lit(" 页"))).otherwise(first).alias("title"))
 
 
+def page_titles_by_file(spark, d):
+    """The titles of the first 40 pages of every file."""
+    first = F.substring(F.trim(F.regexp_replace("raw_text", r"\s+", " ")), 1, 38)
+    p = A.pages(spark, d).withColumn("k", F.row_number().over(W.partitionBy("file_id").orderBy("page_no"))).where("k <= 40")
+    return p.select("file_id", "page_no", F.when(first == "", F.concat(F.lit("第 "), F.col("page_no"), F.lit(" 页"))).otherwise(first).alias("title"))
+
+
 def dup_collapse(spark, d):
     f = A.files(spark, d)
     g = f.groupBy("content_hash").agg(F.max_by("path", F.struct("mtime", "path")).alias("kept"), F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
@@ -73,7 +81,7 @@ def language_ratios(spark, d):
     return t.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), c("[A-Za-z]").alias("latin"), c("[0-9]").alias("digits"), c("[!?]").alias("marks"), c("[一-鿿]").alias("cjk"))
 
 
-QUERIES = {f.__name__: f for f in (search_and_same_page, search_bm25_top, search_phrase, search_ranked, search_scoped, name_hits, recent_files, page_titles, dup_collapse, top_terms, repeated_sentences, language_ratios)}
+QUERIES = {f.__name__: f for f in (search_and_same_page, search_bm25_top, search_phrase, search_ranked, search_scoped, name_hits, recent_files, page_titles, page_titles_by_file, dup_collapse, top_terms, repeated_sentences, language_ratios)}
 
 _TOK = r"""tok AS (SELECT file_id, page_no, norm, t, list_concat(t, flatten(list_transform(list_filter(t, lambda x: length(x) >= 3 AND regexp_full_match(x, '[a-z0-9]+')),
   lambda x: list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))))) AS toks FROM (SELECT *, regexp_extract_all(norm, '[a-z0-9]+|[一-鿿]') AS t FROM pages_raw))"""
@@ -90,6 +98,7 @@ ORACLE_SQL = {
     "name_hits": f"WITH {A.FILES_CTE} SELECT file_id FROM files WHERE contains(lower(name), 'report') AND contains(lower(name), 'final')",
     "recent_files": f"WITH {A.FILES_CTE} SELECT file_id, path, mtime FROM files ORDER BY mtime DESC, file_id LIMIT 20",
     "page_titles": f"WITH {A.PAGES_CTE} SELECT page_no, substr(trim(regexp_replace(raw_text, '\\s+', ' ', 'g')), 1, 38) AS title FROM pages_raw WHERE file_id = 8 ORDER BY page_no LIMIT 40",
+    "page_titles_by_file": f"WITH {A.PAGES_CTE} SELECT file_id, page_no, substr(trim(regexp_replace(raw_text, '\\s+', ' ', 'g')), 1, 38) AS title FROM pages_raw QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY page_no) <= 40",
     "dup_collapse": f"WITH {A.FILES_CTE} SELECT content_hash, arg_max(path, struct_pack(m := mtime, p := path)) AS kept, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM files GROUP BY 1 HAVING count(*) > 1",
     "top_terms": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z][a-z0-9+._-]{1,20}')) AS w FROM documents),
 t AS (SELECT doc_id, regexp_replace(w, '^[._+-]+|[._+-]+$', '', 'g') AS term FROM w) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t WHERE length(term) >= 2 GROUP BY 1 ORDER BY tf DESC, term LIMIT 10""",

@@ -105,3 +105,9 @@ def test_retention_keeps_branch_bases_outside_the_count(spark):
     assert sum(d == 2 and e is None for (d, _), (_, e) in out.items()) == 100 and (2, 101) in out and (2, 19) not in out
     assert sum(d == 3 for d, _ in out) == 30 and len(at(0)) == len(rows)
     assert sum(d == 3 for d, _ in at(20)) == 20 and at(20)[2, 20] == (None, "branch base")
+
+
+def test_titles_of_every_file(spark):
+    got = registry.QUERIES["page_titles_by_file"](spark, DIR).collect()
+    one = sorted((r.page_no, r.title) for r in registry.QUERIES["page_titles"](spark, DIR).collect())
+    assert len({r.file_id for r in got}) > 1 and sorted((r.page_no, r.title) for r in got if r.file_id == 8) == one
