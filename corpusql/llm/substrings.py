@@ -8,14 +8,15 @@
 2. A passage may sit in the middle of a paragraph. Every run of GUARANTEE words that two documents share,
    wherever it stands, is found by winnowing: of all windows of WINDOW words that start within the same
    GUARANTEE - WINDOW + 1 places the one of least hash is kept (one minimum a place: MinHash of a row), and
-   equal windows are joined. 64-bit hashes of WINDOW words stand for them.
+   equal windows are joined. 64-bit hashes of WINDOW words stand for them. A window that is to go is extended
+   word by word against each place of it in the text that keeps it, so that the whole common run goes.
 3. Clusters of paragraphs and of windows of more than one document are repeats: what the document of the
    smallest doc_id holds of one stays; what the others hold are removals.
 
 Result: a row for each row of docs: doc_id, n_words, n_paragraphs, n_links (repeated clusters and windows it
 holds), n_removed (words covered by removals), repeats (n_links > 0), sources (the doc_ids that keep
 them, sorted), component_id (the smallest doc_id reachable over shared passages), spans (removed words,
-[first, end) pairs in one list; up to GUARANTEE - WINDOW words at either end of a run may stay).
+[first, end) pairs in one list).
 
 Nulls and edges: a null or short text has no links; rows of a null doc_id link with nothing; rows of one id
 count as one document and carry the same links; an empty table gives no rows; other columns aren't read;
@@ -146,19 +147,52 @@ def _clusters(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     return linked(units, "keys", alike, texts_of, ["size", *(f"s{k}" for k in range(SIG))], SHINGLE, PERCENT)[1]
 
 
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, kept, text, other, places): the runs of text that other, the keeper's, has around each pair of places."""
+    for x in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for d, kept, t, o, places in zip(*(x[c].to_pylist() for c in ("doc_id", "kept", "text", "other", "places")), strict=True):
+            h, at = word_hashes([t, o])
+            a, b = h[at[0] : at[1]], h[at[1] : at[2]]
+            by: dict[int, list[int]] = {}
+            for p in places:
+                by.setdefault(p["first"] - p["at"], []).append(p["first"])
+            for shift, firsts in by.items():
+                lo, hi = max(0, shift), min(len(a), len(b) + shift)
+                differ = np.flatnonzero(a[lo:hi] != b[lo - shift : hi - shift]) + lo
+                for first in firsts:
+                    k = int(np.searchsorted(differ, first))
+                    start, end = (int(differ[k - 1]) + 1 if k else lo), (int(differ[k]) if k < len(differ) else hi)
+                    if end - first >= WINDOW:  # else the window stands in another row of that id
+                        out.append((d, kept, start, end - start))
+        cols = list(zip(*dict.fromkeys(out), strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "kept", "first", "words"])
+
+
+def _whole_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(passage, doc_id, first, words, kept): the whole runs around found windows that are to go."""
+    windows = found.where("kind = 2")
+    at = windows.where("doc_id = kept").select("passage", F.col("first").alias("at")).distinct()
+    pairs = windows.where("doc_id > kept").join(at, "passage").groupBy("doc_id", "kept").agg(F.collect_set(F.struct("first", "at")).alias("places"))
+    texts = docs.select(F.col("doc_id").alias("kept"), F.col("text").alias("other"))
+    runs = pairs.join(docs, "doc_id").join(texts, "kept").select("doc_id", "kept", "text", "other", "places").mapInArrow(_extended, "doc_id long, kept long, first long, words long")
+    return runs.select(F.lit(None).cast("long").alias("passage"), "doc_id", "first", "words", "kept")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """See above."""
     settle(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     units = Staged(docs.mapInArrow(_scan, UNIT), "units").df
     comps = _clusters(docs, units)
-    paragraphs = units.where("kind = 1").select("id", "doc_id", "first", "words").join(comps, "id", "left").select(F.coalesce("root", "id").alias("passage"), "doc_id", "first", "words")
-    held = paragraphs.unionByName(units.where("kind = 2").select(F.col("id").alias("passage"), "doc_id", "first", "words"))
+    paragraphs = units.where("kind = 1").select("id", "doc_id", "first", "words").join(comps, "id", "left").select(F.coalesce("root", "id").alias("passage"), "doc_id", "first", "words", F.lit(1).alias("kind"))
+    held = paragraphs.unionByName(units.where("kind = 2").select(F.col("id").alias("passage"), "doc_id", "first", "words", "kind"))
     seen = held.groupBy("passage").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept < most").select("passage", "kept")
-    found = Staged(held.join(seen, "passage").select("passage", "doc_id", "first", "words", "kept"), "repeats").df
+    found = Staged(held.join(seen, "passage").select("passage", "doc_id", "first", "words", "kept", "kind"), "repeats").df
     joined = stage(components(found.select(F.col("doc_id").alias("a"), F.col("kept").alias("b"))), "documents")
     removed = F.when(F.col("doc_id") > F.col("kept"), F.struct("first", (F.col("first") + F.col("words")).alias("end")))
-    of = found.groupBy("doc_id").agg(F.count_distinct("passage").alias("n_links"), F.array_sort(F.collect_set("kept")).alias("sources"), F.array_sort(F.collect_set(removed)).alias("spans"))
+    gone = found.drop("kind").unionByName(_whole_runs(docs, found))
+    of = gone.groupBy("doc_id").agg(F.count_distinct("passage").alias("n_links"), F.array_sort(F.collect_set("kept")).alias("sources"), F.array_sort(F.collect_set(removed)).alias("spans"))
     merged = (
         "aggregate(spans, cast(array() as array<bigint>), (s, x) -> case when size(s) > 0 and x.first <= s[size(s) - 1] "
         "then concat(slice(s, 1, size(s) - 1), array(greatest(s[size(s) - 1], x.end))) else concat(s, array(x.first, x.end)) end)"

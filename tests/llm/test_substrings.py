@@ -101,3 +101,22 @@ def test_short_paragraphs_equal_brute_force_without_a_floor(spark):
     for n in shared:
         assert (out[10 * n].n_removed, out[10 * n + 1].n_removed, list(out[10 * n + 1].spans)) == (0, n, [30, 30 + n])
     assert out[401].n_removed == 48
+
+
+def test_the_whole_common_run_goes(spark):
+    r = random.Random(12)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows, want = [], {}
+    for k, n in enumerate((50, 51, 75, 76, 140)):
+        run = text(n)
+        for d in (10 * k, 10 * k + 1, 10 * k + 2):
+            own = r.randint(20, 60)
+            rows.append((d, " ".join([*text(own), *run, *text(30)])))
+            want[d] = [own, own + n] if d % 10 else []
+    run, more = text(60), text(15)  # the keeper has it twice; only its second place goes on
+    rows += [(90, " ".join([*run, *text(20), *run, *more, *text(5)])), (91, " ".join([*text(7), *run, *more])), (92, " ".join(run).upper())]
+    want |= {90: [], 91: [7, 82], 92: [0, 60]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x for x in repeated_passages(docs).collect()}
+    assert {d: list(x.spans) for d, x in out.items()} == want
+    assert all(x.n_removed == sum(want[d][1::2]) - sum(want[d][::2]) for d, x in out.items())
