@@ -1,10 +1,10 @@
 """Links from MinHash buckets without emitting all pairs of a bucket.
 
-First each member of a bucket is paired with the bucket's smallest member alone; confirmed links give
-components. While a turn finds links, a further member of each bucket whose members still lie in several
-components is paired with those of other components. What is then still apart, a few texts that are linked
-with none they were held against, is paired across components by a prefix filter, which loses no pair of the
-similarity asked for. So a bucket of n copies costs a few times n pairs, and no candidate that could join two components is left out; buckets are never capped."""
+Each member of a bucket is paired with one member alone, the pivot: the one that sits in the largest buckets, which
+is near the middle of a group of copies, so that most copies are linked with it. Confirmed links give components.
+What then still shares a bucket across components, texts that are linked with no pivot they were held against, is
+paired across components by a prefix filter, which loses no pair of the similarity asked for. So a bucket of n
+copies costs about n pairs, and no candidate that could join two components is left out; buckets are never capped."""
 
 from __future__ import annotations
 
@@ -16,13 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import Staged, stage
+from corpusql.llm.common import Staged, drop_since, staged
 from corpusql.llm.graph import components
-from corpusql.llm.words import shingle_sets
-
-
-#: Turns of pivots before what is still apart goes through the prefix filter.
-TURNS = 1
+from corpusql.llm.words import shingle_sets, shingles, word_hashes
 
 
 def similarity(a: list[Column], b: list[Column], bits: int) -> Column:
@@ -59,58 +55,45 @@ def _confirmed(n: int, percent: int):
 def _tokens(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(x["text"].to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([x["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "token"])
+            values, at = shingles(*word_hashes(x["text"].to_pylist()), n)
+            yield pa.RecordBatch.from_arrays([x["id"], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "token"])
 
     return run
 
 
-def linked(units: DataFrame, keys: str, alike: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], carry: list[str], n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """units(id: long, ``keys``: array<long>, one a band, *carry) -> (links(a, b), components(id, root)).
+def linked(keyed: DataFrame, describe: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+    """keyed(id: long, key: long; a row may be repeated) -> components(id, root) of the links.
 
-    ``alike(x, y)``: a cheap condition on the carried columns of two aliased rows, which no true link fails.
-    ``texts_of``: the texts (id, text) of some ids, fetched once for all that share a bucket. Links are confirmed
-    on the full sets of ``n``-word shingles at ``percent`` Jaccard similarity. They span the components; they aren't all."""
-    members = units.select(F.explode(keys).alias("key"), "id")
-    heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    shared = Staged(members.join(heads, "key"), "buckets").df  # only buckets of several members
-    texts = Staged(texts_of(shared.select("id").distinct()), "texts").df
-    side = units.select("id", *carry)
+    ``describe``: of some ids the columns (id, ...) that ``alike(x, y)`` needs, a cheap condition on two aliased
+    rows which no true link fails. ``texts_of``: the texts (id, text) of some ids, fetched once for all that share
+    a bucket. Links are confirmed on the full sets of ``n``-word shingles at ``percent`` Jaccard similarity."""
+    before = staged()
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    shared = Staged(keyed.join(buckets, "key").select("key", "id", "n").distinct(), "buckets").df  # only buckets of several members
+    ids = shared.select("id").distinct()
+    side, texts = Staged(describe(ids), "described").df, Staged(texts_of(ids), "texts").df
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         p = pairs.distinct()
-        p = p.join(side.alias("x"), p.a == F.col("x.id")).join(side.alias("y"), p.b == F.col("y.id"))
-        p = stage(p.where(alike("x", "y")).select("a", "b"), "pairs")
-        p = p.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return stage(p.select("a", "b", "x", "y").mapInArrow(_confirmed(n, percent), "a long, b long"), "links")
-
-    links = confirmed(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
-    comps = stage(components(links), "components")
-    for turn in range(1, TURNS + 2):
-        rooted = shared.join(comps, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        rooted = Staged(rooted, "rooted").df
-        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        unsettled = Staged(rooted.join(apart, "key"), "open").df
-        if unsettled.isEmpty():
-            break
-        last = turn > TURNS
-        if not last:
-            # another member, by a hash that changes with the turn, stands for each open bucket
-            pick = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn)))
-            pivots = unsettled.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.root").alias("of"))
-            met = unsettled.join(pivots, "key").where("root <> of")
-            more = confirmed(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
-            last = more.isEmpty()
-        if last:
-            left = unsettled.select("id", "root").distinct()
-            tokens = texts.join(left.select("id"), "id").mapInArrow(_tokens(n), "id long, token array<long>")
-            more = confirmed(_prefix_pairs(left, tokens.select("id", F.explode("token").alias("token")), percent))
-        links = links.unionByName(more)
-        spanning = comps.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
-        comps = stage(components(spanning), "components")
-        if last:
-            break
-    return links, comps
+        p = p.join(side.alias("x"), p.a == F.col("x.id")).join(side.alias("y"), p.b == F.col("y.id")).where(alike("x", "y")).select("a", "b")
+        p = p.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        return Staged(p.select("a", "b", "x", "y").mapInArrow(_confirmed(n, percent), "a long, b long"), "links").df
+
+    # a text that sits in many large buckets is near the middle of its copies: it stands for its buckets
+    central = shared.withColumn("w", F.sum("n").over(W.partitionBy("id")))
+    pivots = central.groupBy("key").agg(F.max_by("id", F.struct("w", F.hash("id"))).alias("pivot"))
+    links = confirmed(shared.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+    comps = Staged(components(links), "components").df
+    rooted = shared.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = Staged(rooted.join(apart, "key").select("id", "root").distinct(), "open").df
+    if not left.isEmpty():
+        tokens = texts.join(left.select("id"), "id").mapInArrow(_tokens(n), "id long, token array<long>")
+        more = confirmed(_prefix_pairs(left, tokens.select("id", F.explode("token").alias("token")), percent))
+        comps = components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
+    out = Staged(comps, "components")
+    drop_since(before, out)
+    return out.df
 
 
 def _prefix_pairs(left: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:

@@ -55,12 +55,13 @@ def _segment(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_hashes(texts: list[str | None], table: bytes = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts, offsets): text i has hashes[offsets[i]:offsets[i + 1]]."""
+def _words(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Hashes and first bytes of all words of all texts, the first byte of each text and the end, the texts joined by line feeds."""
     blobs = [(t or "").encode("utf-8", "replace") for t in texts]
     at = np.zeros(len(blobs) + 1, np.int64)
     at[1:] = np.cumsum([len(x) + 1 for x in blobs])
-    whole = b" ".join(blobs).translate(table)
+    raw = b"\n".join(blobs)
+    whole = raw.translate(table)
     starts, hashes, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while lo < len(whole):
         hi = whole.find(b" ", lo + SEGMENT)
@@ -69,7 +70,23 @@ def word_hashes(texts: list[str | None], table: bytes = BY_SPACE) -> tuple[np.nd
         starts.append(s + lo)
         hashes.append(h)
         lo = hi
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+    return np.concatenate(hashes), np.concatenate(starts), at, raw
+
+
+def word_hashes(texts: list[str | None], table: bytes = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts, offsets): text i has hashes[offsets[i]:offsets[i + 1]]."""
+    hashes, starts, at, _ = _words(texts, table)
+    return hashes, np.searchsorted(starts, at)
+
+
+def line_hashes(texts: list[str | None], table: bytes = BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those of word_hashes, then the first word of each line that has one (and the end), and the text each such line is of."""
+    hashes, starts, at, raw = _words(texts, table)
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    line = np.searchsorted(breaks, starts)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    offsets = np.searchsorted(starts, at)
+    return hashes, offsets, np.append(first, len(hashes)), np.searchsorted(offsets, first, "right") - 1
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -83,24 +100,56 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of n-word shingles; of fewer words the whole sequence is one, of none none."""
-    if 0 < len(words) < n:
-        return grams(words, len(words)) ^ np.uint64(len(words))
-    return np.unique(grams(words, n))
+def shingles(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets): the sorted distinct hashes of n-word shingles of each unit words[at[i]:at[i + 1]].
+
+    Of a unit of fewer words the whole sequence is one, of none there are none."""
+    size = np.diff(at)
+    full = np.flatnonzero(size >= n)
+    count = size[full] - n + 1
+    unit = np.repeat(full, count)
+    place = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count) + at[unit]
+    values, units = [grams(words, n)[place] if len(unit) else np.zeros(0, np.uint64)], [unit]
+    for k in range(1, n):
+        short = np.flatnonzero(size == k)
+        if len(short):
+            out = np.zeros(len(short), np.uint64)
+            for i in range(k):
+                out *= np.uint64(0xD6E8FEB86659FD93)
+                out += words[at[short] + i]
+            values.append(mix(out) ^ np.uint64(k))
+            units.append(short)
+    v, u = np.concatenate(values), np.concatenate(units)
+    order = np.argsort(v)
+    order = order[np.argsort(u[order].astype(np.uint16 if len(size) <= 65_536 else np.int64), kind="stable")]
+    v, u = v[order], u[order]
+    keep = np.ones(len(v), bool)
+    keep[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+    return v[keep], np.concatenate([[0], np.cumsum(np.bincount(u[keep], minlength=len(size)))]).astype(np.int64)
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    hashes, at = word_hashes(texts)
-    return [shingle_set(hashes[at[i] : at[i + 1]], n) for i in range(len(texts))]
+    values, at = shingles(*word_hashes(texts), n)
+    return [values[at[i] : at[i + 1]] for i in range(len(texts))]
+
+
+def sequence_hashes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each sequence values[at[i]:at[i + 1]]: equal sequences have the same, empty ones 0."""
+    size = np.diff(at)
+    full = size > 0
+    out = np.zeros(len(size), np.int64)
+    if full.any():
+        odd = (2 * (np.arange(len(values)) - np.repeat(at[:-1], size)) + 1).astype(np.uint64)
+        total = np.add.reduceat(mix(values + odd) * odd, at[:-1][full])
+        out[full] = mix(total + size[full].astype(np.uint64)).view(np.int64)
+    return out
 
 
-def set_hash(s: np.ndarray) -> int:
-    """One signed 64-bit hash of a sorted set: equal sets have the same."""
-    if not len(s):
-        return 0
-    odd = np.arange(1, 2 * len(s), 2, dtype=np.uint64)
-    return int(mix(np.array([np.sum(mix(s + odd) * odd, dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
+def parts(values: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values and offsets of some units (their numbers, ascending)."""
+    size = at[some + 1] - at[some]
+    ends = np.cumsum(size)
+    return values[np.arange(int(size.sum())) + np.repeat(at[some] - (ends - size), size)], np.concatenate([[0], ends]).astype(np.int64)
 
 
 class MinHash:
@@ -112,23 +161,20 @@ class MinHash:
         self.a = rng.integers(0, 2**31, total, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.c = rng.integers(0, 2**32, total, dtype=np.uint32)
 
-    def minima(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row for each set; none may be empty. Sets go through in groups that fit a core's cache."""
-        out = np.empty((len(sets), len(self.a)), np.uint32)
+    def minima(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row for each set values[at[i]:at[i + 1]]; none may be empty. Sets go through in groups that fit a core's cache."""
+        n = len(at) - 1
+        out = np.empty((n, len(self.a)), np.uint32)
         lo = 0
-        while lo < len(sets):
-            hi, n = lo + 1, len(sets[lo])
-            while hi < len(sets) and n + len(sets[hi]) <= 32_768:
-                n += len(sets[hi])
-                hi += 1
-            x = (np.concatenate(sets[lo:hi]) >> np.uint64(32)).astype(np.uint32)
-            at = np.zeros(hi - lo, np.int64)
-            at[1:] = np.cumsum([len(s) for s in sets[lo : hi - 1]])
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 32_768, "right")) - 1)
+            x = (values[at[lo] : at[hi]] >> np.uint64(32)).astype(np.uint32)
+            starts = at[lo:hi] - at[lo]
             t = np.empty_like(x)
             for k in range(len(self.a)):
                 np.multiply(x, self.a[k], out=t)
                 np.add(t, self.c[k], out=t)
-                out[lo:hi, k] = np.minimum.reduceat(t, at)
+                out[lo:hi, k] = np.minimum.reduceat(t, starts)
             lo = hi
         return out
 
