@@ -1,10 +1,11 @@
 """Links from MinHash buckets without emitting all pairs of a bucket.
 
-Each member of a bucket is paired with one member alone, the pivot: the one that sits in the largest buckets, which
-is near the middle of a group of copies, so that most copies are linked with it. Confirmed links give components.
+Each member of a bucket is paired with two members alone, its pivots: the one that sits in the largest buckets, which
+is near the middle of a group of copies, so that most copies are linked with it, and one by its hash. Confirmed
+links give components.
 What then still shares a bucket across components, texts that are linked with no pivot they were held against, is
 paired across components by a prefix filter, which loses no pair of the similarity asked for. So a bucket of n
-copies costs about n pairs, and no candidate that could join two components is left out; buckets are never capped."""
+copies costs about 2 n pairs, and no candidate that could join two components is left out; buckets are never capped."""
 
 from __future__ import annotations
 
@@ -20,6 +21,9 @@ from corpusql.llm.common import Staged, drop_since, staged
 from corpusql.llm.graph import components
 from corpusql.llm.words import shingle_sets, shingles, word_hashes
 
+#: Tokens that a row of the prefix filter remembers, so that a pair is made once and not at each common token.
+EARLIER = 64
+
 
 def similarity(a: list[Column], b: list[Column], bits: int) -> Column:
     """Jaccard estimated from packed b-bit minima, corrected for the 2^-bits of minima that collide by chance."""
@@ -81,7 +85,8 @@ def linked(keyed: DataFrame, describe: Callable[[DataFrame], DataFrame], alike:
 
     # a text that sits in many large buckets is near the middle of its copies: it stands for its buckets
     central = shared.withColumn("w", F.sum("n").over(W.partitionBy("id")))
-    pivots = central.groupBy("key").agg(F.max_by("id", F.struct("w", F.hash("id"))).alias("pivot"))
+    pivots = central.groupBy("key").agg(F.max_by("id", F.struct("w", F.hash("id"))).alias("middle"), F.min_by("id", F.xxhash64("id")).alias("any"))
+    pivots = pivots.select("key", F.explode(F.array("middle", "any")).alias("pivot"))
     links = confirmed(shared.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
     comps = Staged(components(links), "components").df
     rooted = shared.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -89,26 +94,29 @@ def linked(keyed: DataFrame, describe: Callable[[DataFrame], DataFrame], alike:
     left = Staged(rooted.join(apart, "key").select("id", "root").distinct(), "open").df
     if not left.isEmpty():
         tokens = texts.join(left.select("id"), "id").mapInArrow(_tokens(n), "id long, token array<long>")
-        more = confirmed(_prefix_pairs(left, tokens.select("id", F.explode("token").alias("token")), percent))
+        more = confirmed(_prefix_pairs(left.join(side, "id"), tokens.select("id", F.explode("token").alias("token")), alike, percent))
         comps = components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
     out = Staged(comps, "components")
     drop_since(before, out)
     return out.df
 
 
-def _prefix_pairs(left: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """All pairs of left(id, root) of different roots that can have the similarity; tokens(id, token): their full sets.
+def _prefix_pairs(left: DataFrame, tokens: DataFrame, alike: Callable[[str, str], Column], percent: int) -> DataFrame:
+    """All pairs of left(id, root, what ``alike`` needs) of different roots that can have the similarity; tokens(id, token): their full sets.
 
     Of two such sets the rarest |S| - ceil(percent |S| / 100) + 1 tokens of each, in one order for all, have one in
-    common; and from the first common token on, both have enough left for the overlap that is needed."""
+    common; and from the first common token on, both have enough left for the overlap that is needed. A pair is made
+    at that token, and not again where one of the EARLIER tokens before is common too."""
     tok = Staged(tokens, "tokens").df
     often = tok.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tok.join(often, "token").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
-    ranked = ranked.withColumn("size", F.count("*").over(W.partitionBy("id")))
-    prefix = ranked.where(F.col("rank") <= F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1).where("df > 1")
-    prefix = Staged(prefix.select("token", "id", "size", "rank").join(left, "id"), "prefixes").df
+    by_rank = W.partitionBy("id").orderBy("df", "token")
+    ranked = tok.join(often, "token").withColumn("rank", F.row_number().over(by_rank)).withColumn("length", F.count("*").over(W.partitionBy("id")))
+    prefix = ranked.where(F.col("rank") <= F.col("length") - F.expr(f"(length * {percent} + 99) div 100") + 1)
+    prefix = prefix.withColumn("earlier", F.collect_list("token").over(by_rank.rowsBetween(-EARLIER, -1))).where("df > 1")
+    prefix = Staged(prefix.select("token", "id", "length", "rank", "earlier").join(left, "id"), "prefixes").df
     x, y = prefix.alias("x"), prefix.alias("y")
-    most = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank")) + 1
-    enough = most * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & enough)
+    most = F.least(F.col("x.length") - F.col("x.rank"), F.col("y.length") - F.col("y.rank")) + 1
+    enough = most * (100 + percent) >= (F.col("x.length") + F.col("y.length")) * percent
+    first = ~F.arrays_overlap("x.earlier", "y.earlier")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & enough & alike("x", "y") & first)
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

@@ -3,44 +3,54 @@
 1. Paragraphs (all lines that aren't blank) become sets of five-word shingles; of fewer words the whole line is
    one. Paragraphs of equal sets are one class, however short; each class gets minima in BANDS bands of ROWS;
    colliding paragraphs are joined (see lsh) and confirmed by exact Jaccard on full sets; components of links
-   are clusters. 16 bands of 3 rows miss a pair at similarity 0.8 with probability 1e-5. Sets of fewer than
+   are clusters. 12 bands of 3 rows miss a pair at similarity 0.8 with probability 2e-4. Sets of fewer than
    LEAST shingles can't be PERCENT alike unless they are equal, so they need no minima.
 2. A passage may sit in the middle of a paragraph. Every run of GUARANTEE words that two documents share,
    wherever it stands, is found by winnowing: of all windows of WINDOW words that start within the same
    GUARANTEE - WINDOW + 1 places the one of least hash is kept (one minimum a place: MinHash of a row), and
-   equal windows are joined. 64-bit hashes of WINDOW words stand for them. A window that is to go is extended
-   word by word against each place of it in the text that keeps it, so that the whole common run goes.
-3. Clusters of paragraphs and of windows of more than one document are repeats: what the document of the
+   equal windows are joined. A run's other words lie within REACH words of one of its kept windows. So each window
+   has hashes of the REACH words before and after it: where the keeper has the window with the same ones, all of
+   them belong to the run; where it hasn't, at the ends of a run, the windows are held against each other word by
+   word, and so are the words around them. Documents of equal word sequences are one run without that.
+3. Clusters of paragraphs and runs that lie in more than one document are repeats: what the document of the
    smallest doc_id holds of one stays; what the others hold are removals.
 
-Result: a row for each row of docs: doc_id, n_words, n_paragraphs, n_links (repeated clusters and windows it
-holds), n_removed (words covered by removals), repeats (n_links > 0), sources (the doc_ids that keep
-them, sorted), component_id (the smallest doc_id reachable over shared passages), spans (removed words,
+Result: a row for each row of docs: doc_id, n_words, n_paragraphs, n_links (passages of GUARANTEE words or more that
+it shares, overlapping ones counted as one), n_short_links (shorter ones: repeated lines, and runs found by chance),
+n_removed (words covered by removals), repeats (n_links > 0), sources (the doc_ids that keep the removals,
+sorted), component_id (the smallest doc_id reachable over shared passages of any length), spans (removed words,
 [first, end) pairs in one list).
 
-Nulls and edges: a null or short text has no links; rows of a null doc_id link with nothing; rows of one id
+Nulls and edges: a null or empty text has no links; rows of a null doc_id link with nothing; rows of one id
 count as one document and carry the same links; an empty table gives no rows; other columns aren't read;
 whole texts are read. A passage that one document repeats within itself only isn't a link."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import Staged, settle, stage, table
+from corpusql.llm.common import Staged, drop_since, fresh, settle, staged, table
 from corpusql.llm.graph import components
 from corpusql.llm.lsh import linked, similarity
-from corpusql.llm.words import MinHash, grams, pack_low_bits, set_hash, shingle_set, word_hashes
+from corpusql.llm.minhash import sketches
+from corpusql.llm.words import MinHash, grams, line_hashes, parts, sequence_hashes, shingles, slices, word_hashes
 
 WINDOW, GUARANTEE = 25, 50
-BANDS, ROWS, MINIMA, BITS, MARGIN, SHINGLE, PERCENT = 16, 3, 96, 4, 0.2, 5, 80
+REACH = GUARANTEE - WINDOW + 1
+BANDS, ROWS, MINIMA, BITS, MARGIN, SHINGLE, PERCENT = 12, 3, 192, 4, 0.15, 5, 80
 SIG = MINIMA * BITS // 64
 #: Of two sets that differ and are PERCENT alike, the smaller one has LEAST shingles or more.
 LEAST = -(-PERCENT // (100 - PERCENT))
+#: Parts that the rows of a passage are dealt over where they meet its keeper: one passage may be in a third of all documents.
+SALTS = 16
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -62,78 +72,68 @@ def winnow(h: np.ndarray, places: int) -> np.ndarray:
     return np.flatnonzero(h == _sliding(np.concatenate([edge, low, edge]), places, np.maximum))
 
 
-def _units(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
-    """For each text its word hashes and its paragraphs as (first word, hashes)."""
-    lines = [(t or "").split("\n") for t in texts]
-    h, at = word_hashes([x for ls in lines for x in ls])
-    k = 0
-    for ls in lines:
-        first, end = at[k], at[k + len(ls)]
-        yield h[first:end], [(int(at[i] - first), h[at[i] : at[i + 1]]) for i in range(k, k + len(ls)) if at[i + 1] > at[i]]
-        k += len(ls)
-
-
-
-UNIT = "kind int, doc_id long, id long, first long, words long, size long, keys array<long>, sig array<long>"
+UNIT = "kind int, doc_id long, id long, first long, words long, size long, before long, after long, keys array<long>, sig array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document (id: paragraphs); 1: a paragraph, with band keys and signature if its set has LEAST shingles; 2: a window."""
-    family = MinHash(BANDS, ROWS, seed=11, total=MINIMA)
-    names = [c.split()[0] for c in UNIT.split(", ")]
+    """kind 0: a document (id: paragraphs, size: hash of its words); 1: a paragraph, with band keys and signature
+    where its set has LEAST shingles and is new in the partition; 2: a window (words: how many of REACH follow it;
+    before, after: hashes of the words around it)."""
+    family, seen = MinHash(BANDS, ROWS, seed=11, total=MINIMA), set()
     for x in batches:
-        plain: list[tuple[int, ...]] = []
-        sets, owners = [], []
-        windows = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for d, (h, paragraphs) in zip(x["doc_id"].to_pylist(), _units(x["text"].to_pylist()), strict=True):
-            plain.append((d, len(paragraphs), len(h)))
-            if d is None:
-                continue
-            for first, p in paragraphs:
-                sets.append(shingle_set(p, SHINGLE))
-                owners.append((d, first, len(p)))
-            g = grams(h, WINDOW)
-            at = winnow(g, GUARANTEE - WINDOW + 1)
-            for w, v in zip(windows, (np.full(len(at), d), g[at].view(np.int64), at), strict=True):
-                w.append(v)
-        signed = [s for s in sets if len(s) >= LEAST]
-        minima = family.minima(signed) if signed else np.zeros((0, MINIMA), np.uint32)
-        docs, ids, firsts = (np.concatenate(w) for w in windows)
-        a, b, c = len(plain), len(sets), len(docs)
-        cols = [
-            pa.array(np.repeat(np.array([0, 1, 2], np.int32), [a, b, c])),
-            pa.array([d for d, *_ in plain] + [d for d, *_ in owners] + docs.tolist(), pa.int64()),
-            pa.array(np.concatenate([np.array([n for _, n, _ in plain], np.int64), np.array([set_hash(s) for s in sets], np.int64), ids])),
-            pa.array(np.concatenate([np.zeros(a, np.int64), np.array([f for _, f, _ in owners], np.int64), firsts])),
-            pa.array(np.concatenate([np.array([n for *_, n in plain], np.int64), np.array([n for *_, n in owners], np.int64), np.full(c, WINDOW)])),
-            pa.array(np.concatenate([np.zeros(a, np.int64), np.array([len(s) for s in sets], np.int64), np.zeros(c, np.int64)])),
-        ]
-        for v in (family.keys(minima), pack_low_bits(minima, BITS)):
-            n = np.concatenate([np.zeros(a, np.int32), np.array([v.shape[1] * (len(s) >= LEAST) for s in sets], np.int32), np.zeros(c, np.int32)])
-            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v.ravel())))
-        yield pa.RecordBatch.from_arrays(cols, names)
+        h, at, lines, owner = line_hashes(x["text"].to_pylist())
+        ids, known = x["doc_id"].to_pylist(), x["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+        doc = x["doc_id"].fill_null(0).to_numpy()
+        own = np.flatnonzero(known[owner])  # the lines of documents with an id
+        values, off = parts(*shingles(h, lines, SHINGLE), own)
+        line_ids, size = sequence_hashes(values, off), np.diff(off)
+        keys, sig = sketches(family, values, off, line_ids, size >= LEAST, seen)
+        g, windows = grams(h, WINDOW), []
+        for i in np.flatnonzero(known).tolist():
+            windows.append(at[i] + winnow(g[at[i] : max(at[i], at[i + 1] - WINDOW + 1)], REACH))
+        place = np.concatenate([np.zeros(0, np.int64), *windows])
+        of = np.searchsorted(at, place, "right") - 1
+        left, last = np.maximum(place - REACH, at[of]), np.minimum(place + GUARANTEE + 1, at[of + 1])
+        before, after = (slices(h, lo, hi).view(np.int64) for lo, hi in ((left, place), (place + WINDOW, last)))
+        a, b, c = len(ids), len(own), len(place)
+        none, paragraphs = np.zeros(a, np.int64), np.bincount(owner, minlength=a)
+        spread = lambda u, v, w: pa.array(np.concatenate([u, v, w]).astype(np.int64))
+        padded = lambda v: pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(a, np.int32), v.offsets.to_numpy(), np.full(c, v.offsets[-1].as_py(), np.int32)])), v.values)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.array([0, 1, 2], np.int32), [a, b, c])), pa.array([*ids, *doc[owner[own]].tolist(), *doc[of].tolist()], pa.int64()),
+                spread(paragraphs, line_ids, g[place].view(np.int64)), spread(none, lines[own] - at[owner[own]], place - at[of]),
+                spread(np.diff(at), np.diff(lines)[own], last - place - WINDOW), spread(sequence_hashes(h, at), size, np.zeros(c)),
+                spread(none, np.zeros(b), before), spread(none, np.zeros(b), after), padded(keys), padded(sig),
+            ],
+            [c.split()[0] for c in UNIT.split(", ")],
+        )
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, ids): the paragraphs of the text whose sets hash to one of ids, with their shingles' keys and signatures."""
+    """Rows (text, ids): the paragraphs of the text whose sets hash to one of ids."""
     for x in batches:
-        ids, texts = [], []
-        for t, want in zip(x["text"].to_pylist(), x["ids"].to_pylist(), strict=True):
-            lines = [ln for ln in (t or "").split("\n")]
-            want = set(want)
-            h, at = word_hashes(lines)
-            for i, line in enumerate(lines):
-                if at[i + 1] - at[i] >= LEAST + SHINGLE - 1 and (k := set_hash(shingle_set(h[at[i] : at[i + 1]], SHINGLE))) in want:
-                    want.discard(k)
-                    ids.append(k)
-                    texts.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
-
-
-def _clusters(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+        texts = x["text"].to_pylist()
+        lines = [ln for t in texts for ln in (t or "").split("\n")]
+        owner = [i for i, t in enumerate(texts) for _ in range((t or "").count("\n") + 1)]
+        found = sequence_hashes(*shingles(*word_hashes(lines), SHINGLE)).tolist()
+        want = [set(w) for w in x["ids"].to_pylist()]
+        ids, out = [], []
+        for k, i, ln in zip(found, owner, lines, strict=True):
+            if k in want[i]:
+                want[i].discard(k)
+                ids.append(k)
+                out.append(ln)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "text"])
+
+
+def _clusters(docs: DataFrame, units: DataFrame) -> DataFrame:
     """(id, root) of linked classes of paragraphs; classes of smaller sets link with none."""
-    classes = Staged(scanned.where(f"kind = 1 and size >= {LEAST}").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "paragraphs").df
-    units = classes.select("id", "size", "keys", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIG)))
+    signed = units.where("kind = 1 and size(keys) > 0")
+
+    def describe(ids: DataFrame) -> DataFrame:
+        of = signed.join(ids, "id").groupBy("id").agg(F.first("size").alias("size"), F.first("sig").alias("sig"))
+        return of.select("id", "size", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIG)))
 
     def alike(x: str, y: str):
         a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
@@ -141,91 +141,166 @@ def _clusters(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (similarity(*words, BITS) >= PERCENT / 100 - MARGIN)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        want = ids.join(classes.select("id", "rep"), "id").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("id").alias("ids"))
+        reps = signed.join(ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        want = reps.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
         return docs.join(want, "doc_id").select("text", "ids").mapInArrow(_wanted, "id long, text string").dropDuplicates(["id"])
 
-    return linked(units, "keys", alike, texts_of, ["size", *(f"s{k}" for k in range(SIG))], SHINGLE, PERCENT)[1]
+    return linked(signed.select("id", F.explode("keys").alias("key")), describe, alike, texts_of, SHINGLE, PERCENT)
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, kept, text, other, places): the runs of text that other, the keeper's, has around each pair of places."""
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, places): for each place that has a window its words, and up to REACH words to either side, the left ones backwards."""
     for x in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for d, kept, t, o, places in zip(*(x[c].to_pylist() for c in ("doc_id", "kept", "text", "other", "places")), strict=True):
-            h, at = word_hashes([t, o])
-            a, b = h[at[0] : at[1]], h[at[1] : at[2]]
-            by: dict[int, list[int]] = {}
-            for p in places:
-                by.setdefault(p["first"] - p["at"], []).append(p["first"])
-            for shift, firsts in by.items():
-                lo, hi = max(0, shift), min(len(a), len(b) + shift)
-                differ = np.flatnonzero(a[lo:hi] != b[lo - shift : hi - shift]) + lo
-                for first in firsts:
-                    k = int(np.searchsorted(differ, first))
-                    start, end = (int(differ[k - 1]) + 1 if k else lo), (int(differ[k]) if k < len(differ) else hi)
-                    if end - first >= WINDOW:  # else the window stands in another row of that id
-                        out.append((d, kept, start, end - start))
-        cols = list(zip(*dict.fromkeys(out), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "kept", "first", "words"])
-
-
-def _whole_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(passage, doc_id, first, words, kept): the whole runs around found windows that are to go."""
-    windows = found.where("kind = 2")
-    at = windows.where("doc_id = kept").select("passage", F.col("first").alias("at")).distinct()
-    pairs = windows.where("doc_id > kept").join(at, "passage").groupBy("doc_id", "kept").agg(F.collect_set(F.struct("first", "at")).alias("places"))
-    texts = docs.select(F.col("doc_id").alias("kept"), F.col("text").alias("other"))
-    runs = pairs.join(docs, "doc_id").join(texts, "kept").select("doc_id", "kept", "text", "other", "places").mapInArrow(_extended, "doc_id long, kept long, first long, words long")
-    return runs.select(F.lit(None).cast("long").alias("passage"), "doc_id", "first", "words", "kept")
+        h, at = word_hashes(x["text"].to_pylist())
+        h = h.view(np.int64)
+        out: list[tuple] = []
+        for i, (d, places) in enumerate(zip(x["doc_id"].to_pylist(), x["places"].to_pylist(), strict=True)):
+            w = h[at[i] : at[i + 1]]
+            out += [(d, p, w[p : p + WINDOW], w[max(0, p - REACH) : p][::-1], w[p + WINDOW : p + WINDOW + REACH]) for p in places if p + WINDOW <= len(w)]
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[2:])], ["doc_id", "place", "own", "left", "right"])
+
+
+def _equal(a: Column, b: Column) -> Column:
+    """How many of the first elements of two arrays are equal."""
+    n = F.least(F.size(a), F.size(b))
+    first = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(n)
+
+
+def _runs(docs: DataFrame, units: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of repeated windows (id, doc_id, kept, first, words, before, after) the runs around them.
+
+    (doc_id, kept, first, words): what documents share with the keeper; (doc_id, first, words): what keepers have of it.
+    Runs are verified and not whole ones yet: those of one document overlap."""
+    texts = units.where("kind = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("size").alias("is"), F.max("size").alias("to"), F.max("words").alias("n")).where("is = to")
+    away = windows.where("doc_id > kept")
+    copies = away.select("doc_id", "kept").distinct().join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("kept"), F.col("is").alias("as")), "kept").where("is = as")
+    copies = Staged(copies.select("doc_id", "kept", "n"), "copies")
+    mine = windows.where("doc_id = kept")
+    sides = {c: mine.groupBy("id", c).agg(F.min("first").alias("at"), F.max("words").alias("words")).groupBy("id").agg(F.collect_list(F.struct(F.col(c).alias("h"), "at")).alias(f"{c}s")) for c in ("before", "after")}
+    keeper = sides["before"].join(sides["after"], "id").withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    met = away.join(copies.df.select("doc_id", "kept"), ["doc_id", "kept"], "left_anti").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(keeper, ["id", "salt"])
+
+    def place(c: str) -> Column:  # of the keeper's window with the same words on that side
+        return F.try_element_at(F.filter(f"{c}s", lambda x: x["h"] == F.col(c)), F.lit(1))["at"]
+
+    def others(c: str) -> Column:
+        return F.when(place(c).isNull(), F.transform(f"{c}s", lambda x: x["at"])).otherwise(F.array().cast("array<long>"))
+
+    met = met.select("doc_id", "kept", "first", "words", place("before").alias("lo_at"), place("after").alias("hi_at"), others("before").alias("lo_of"), others("after").alias("hi_of"))
+    met = Staged(met, "met")
+    open_ = met.df.where("size(lo_of) + size(hi_of) > 0")
+    there = open_.select(F.col("kept").alias("doc_id"), F.explode(F.concat("lo_of", "hi_of")).alias("place"))
+    wanted = open_.select("doc_id", F.col("first").alias("place")).unionByName(there).distinct().groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    words = docs.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(_around, "doc_id long, place long, own array<long>, left array<long>, right array<long>").dropDuplicates(["doc_id", "place"])
+    words = Staged(words, "around")
+
+    def ends(of: str, side: str) -> DataFrame:
+        """(doc_id, kept, first, at, more): equal words beyond windows that are equal word by word."""
+        rows = open_.select("doc_id", "kept", "first", F.explode(of).alias("at"))
+        a = words.df.select("doc_id", F.col("place").alias("first"), F.col("own").alias("a"), F.col(side).alias("x"))
+        b = words.df.select(F.col("doc_id").alias("kept"), F.col("place").alias("at"), F.col("own").alias("b"), F.col(side).alias("y"))
+        return rows.join(a, ["doc_id", "first"]).join(b, ["kept", "at"]).where("a = b").select("doc_id", "kept", "first", "at", _equal(F.col("x"), F.col("y")).cast("long").alias("more"))
+
+    w, reach = F.lit(WINDOW).cast("long"), F.least(F.col("first"), F.lit(REACH).cast("long"))
+    lo, hi = ends("lo_of", "left"), ends("hi_of", "right")
+    same_lo, same_hi = met.df.where("lo_at is not null"), met.df.where("hi_at is not null")
+    either = F.coalesce(F.when(F.col("lo_at").isNotNull(), reach), F.lit(0).cast("long"))
+    or_ = F.coalesce(F.when(F.col("hi_at").isNotNull(), F.col("words")), F.lit(0).cast("long"))
+    out = [
+        met.df.where("lo_at is not null or hi_at is not null").select("doc_id", "kept", (F.col("first") - either).alias("first"), (w + either + or_).alias("words")),
+        lo.select("doc_id", "kept", (F.col("first") - F.col("more")).alias("first"), (w + F.col("more")).alias("words")), hi.select("doc_id", "kept", "first", (w + F.col("more")).alias("words")),
+        copies.df.select("doc_id", "kept", F.lit(0).cast("long").alias("first"), F.col("n").alias("words")),
+    ]
+    has = [
+        same_lo.select(F.col("kept").alias("doc_id"), (F.col("lo_at") - reach).alias("first"), (w + reach).alias("words")), same_hi.select(F.col("kept").alias("doc_id"), F.col("hi_at").alias("first"), (w + F.col("words")).alias("words")),
+        lo.select(F.col("kept").alias("doc_id"), (F.col("at") - F.col("more")).alias("first"), (w + F.col("more")).alias("words")), hi.select(F.col("kept").alias("doc_id"), F.col("at").alias("first"), (w + F.col("more")).alias("words")),
+        copies.df.select(F.col("kept").alias("doc_id"), F.lit(0).cast("long").alias("first"), F.col("n").alias("words")),
+    ]
+    union = lambda xs: reduce(DataFrame.unionByName, xs).distinct()
+    return union(out), union(has)
+
+
+def _repeated(held: DataFrame) -> DataFrame:
+    """held(id, doc_id, ...) with kept, the smallest doc_id, of the ids that more than one document holds."""
+    seen = held.groupBy("id").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept < most").select("id", "kept")
+    seen = seen.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    return held.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(seen, ["id", "salt"]).drop("salt")
+
+
+#: Sorted [first, end) pairs, as one list, of an array of them: those that touch (<=) or overlap (<) become one.
+_MERGED = (
+    "aggregate({spans}, cast(array() as array<bigint>), (s, x) -> case when size(s) > 0 and x.first {by} s[size(s) - 1] "
+    "then concat(slice(s, 1, size(s) - 1), array(greatest(s[size(s) - 1], x.end))) else concat(s, array(x.first, x.end)) end)"
+)
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Of spans(doc_id, kept, first, end, away) a row a document: held, spans (merged [first, end) lists), sources.
+
+    Spans that follow on one another are joined in their order first, so that few of a document meet in its lists."""
+    order = W.partitionBy("doc_id").orderBy("first", "end")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    s = spans.withColumn("new", (F.col("first") >= F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
+    s = s.withColumn("newer", (F.col("first") > F.coalesce(F.max(F.when(F.col("away"), F.col("end"))).over(before), F.lit(-1))).cast("int"))
+    s = s.withColumn("held", F.sum("new").over(order)).withColumn("gone", F.sum(F.when(F.col("away"), F.col("newer")).otherwise(0)).over(order))
+    few = s.groupBy("doc_id", "held", "gone", "away").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.collect_set("kept").alias("kept"))
+    span, away = F.struct("first", "end"), F.col("away")
+    of = few.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(away, F.col("kept")))))).alias("sources"), F.array_sort(F.collect_list(F.when(away, span))).alias("gone"), F.array_sort(F.collect_list(span)).alias("held"))
+    return of.withColumn("spans", F.expr(_MERGED.format(spans="gone", by="<="))).withColumn("held", F.expr(_MERGED.format(spans="held", by="<")))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """See above."""
     settle(docs.sparkSession)
+    before = staged()
     docs = docs.select("doc_id", "text")
-    units = Staged(docs.mapInArrow(_scan, UNIT), "units").df
-    comps = _clusters(docs, units)
-    paragraphs = units.where("kind = 1").select("id", "doc_id", "first", "words").join(comps, "id", "left").select(F.coalesce("root", "id").alias("passage"), "doc_id", "first", "words", F.lit(1).alias("kind"))
-    held = paragraphs.unionByName(units.where("kind = 2").select(F.col("id").alias("passage"), "doc_id", "first", "words", "kind"))
-    seen = held.groupBy("passage").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept < most").select("passage", "kept")
-    found = Staged(held.join(seen, "passage").select("passage", "doc_id", "first", "words", "kept", "kind"), "repeats").df
-    joined = stage(components(found.select(F.col("doc_id").alias("a"), F.col("kept").alias("b"))), "documents")
-    removed = F.when(F.col("doc_id") > F.col("kept"), F.struct("first", (F.col("first") + F.col("words")).alias("end")))
-    gone = found.drop("kind").unionByName(_whole_runs(docs, found))
-    of = gone.groupBy("doc_id").agg(F.count_distinct("passage").alias("n_links"), F.array_sort(F.collect_set("kept")).alias("sources"), F.array_sort(F.collect_set(removed)).alias("spans"))
-    merged = (
-        "aggregate(spans, cast(array() as array<bigint>), (s, x) -> case when size(s) > 0 and x.first <= s[size(s) - 1] "
-        "then concat(slice(s, 1, size(s) - 1), array(greatest(s[size(s) - 1], x.end))) else concat(s, array(x.first, x.end)) end)"
-    )
-    of = of.withColumn("spans", F.expr(merged))
-    rows = units.where("kind = 0").select("doc_id", F.col("words").alias("n_words"), F.col("id").alias("n_paragraphs"))
+    units = Staged(docs.mapInArrow(_scan, UNIT), "units")
+    comps = _clusters(docs, units.df)
+    lines = units.df.where("kind = 1").select("id", "doc_id", "first", "words").join(comps, "id", "left").select(F.coalesce("root", "id").alias("id"), "doc_id", "first", "words")
+    lines = Staged(_repeated(lines).select("doc_id", "kept", "first", "words"), "lines").df
+    windows = Staged(_repeated(units.df.where("kind = 2").select("id", "doc_id", "first", "words", "before", "after")), "windows").df
+    runs, has = _runs(docs, units.df, windows)
+    mine = Staged(runs.unionByName(lines), "found").df
+    held = mine.unionByName(has.select("doc_id", F.col("doc_id").alias("kept"), "first", "words"))
+    joined = components(mine.select(F.col("doc_id").alias("a"), F.col("kept").alias("b")))
+    of = _merged(held.select("doc_id", "kept", "first", (F.col("first") + F.col("words")).alias("end"), (F.col("doc_id") > F.col("kept")).alias("away")))
+    long = F.expr(f"size(filter(transform(held, (x, i) -> i % 2 = 1 and x - held[i - 1] >= {GUARANTEE}), x -> x))").cast("long")
+    of = of.withColumn("n_links", long).withColumn("n_short_links", (F.size("held") / 2).cast("long") - F.col("n_links")).drop("gone", "held")
+    rows = units.df.where("kind = 0").select("doc_id", F.col("words").alias("n_words"), F.col("id").alias("n_paragraphs"))
     out = rows.join(of, "doc_id", "left").join(joined.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     none = F.array().cast("array<long>")
     covered = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (s, x) -> s + x)")
-    return out.select(
-        "doc_id", "n_words", "n_paragraphs", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(covered, F.lit(0).cast("long")).alias("n_removed"),
-        F.col("n_links").isNotNull().alias("repeats"), F.coalesce("sources", none).alias("sources"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("spans", none).alias("spans"),
-    )
+    zero = F.lit(0).cast("long")
+    out = Staged(out.select(
+        "doc_id", "n_words", "n_paragraphs", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_short_links", zero).alias("n_short_links"), F.coalesce(covered, zero).alias("n_removed"),
+        F.coalesce(F.col("n_links") > 0, F.lit(False)).alias("repeats"), F.coalesce("sources", none).alias("sources"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("spans", none).alias("spans"),
+    ), "passages")
+    drop_since(before, out)
+    return out.df
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the removed words of repeated_passages(docs) taken out; other columns stay. Words are parted by single spaces where one was taken out."""
+    """docs with the removed words of repeated_passages(docs) taken out; other columns stay, whatever their names.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+    Words are parted by single spaces where one was taken out. Null texts and rows of a null doc_id stay as they are."""
+    key, name = fresh(docs, "id_"), fresh(docs, "spans_")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out = []
-            for t, spans in zip(x["text"].to_pylist(), x["__spans"].to_pylist(), strict=True):
+            for t, spans in zip(x["text"].to_pylist(), x[name].to_pylist(), strict=True):
                 if t and spans:
                     at = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
                     for first, end in reversed(list(zip(spans[::2], spans[1::2], strict=True))):
                         t = t[: at[first][0]].rstrip(" ") + " " * (at[first][0] > 0) + t[at[end - 1][1] :].lstrip(" ")
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([*(x[c] for c in x.schema.names if c not in ("text", "__spans")), pa.array(out, pa.string())], [*(c for c in x.schema.names if c not in ("text", "__spans")), "text"])
+            rest = [c for c in x.schema.names if c not in ("text", name)]
+            yield pa.RecordBatch.from_arrays([*(x[c] for c in rest), pa.array(out, pa.string())], [*rest, "text"])
 
-    spans = found.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, "__spans")
+    spans = found.where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(name)).dropDuplicates([key])
+    joined = docs.join(spans, F.col("doc_id") == F.col(key), "left").select(*docs.columns, name)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", text string"
     return joined.mapInArrow(cut, schema).select(*docs.columns)

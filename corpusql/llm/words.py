@@ -145,6 +145,14 @@ def sequence_hashes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def slices(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of words[first[i]:end[i]] for each i; the same words have the same wherever they stand."""
+    up, down = _power(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words) * up[: len(words)], out=total[1:])
+    return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+
+
 def parts(values: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values and offsets of some units (their numbers, ascending)."""
     size = at[some + 1] - at[some]

@@ -54,13 +54,15 @@ def test_components_equal_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r for r in repeated_passages(docs).collect()}
-    assert {d: (r.component_id, r.repeats) for d, r in out.items()} == brute(rows)
+    assert {d: (r.component_id, r.n_links + r.n_short_links > 0) for d, r in out.items()} == brute(rows)
     by = dict(rows)
     assert out[100].n_words == len(by[100].split()) and out[100].n_words - out[100].n_removed < 25 and 1 in out[100].sources
     assert out[1].n_removed == 0 and out[104].n_links == 0 and out[102].n_words == 0
     kept = {r.doc_id: r.text for r in without_repeats(docs, repeated_passages(docs)).collect()}
     assert all(len((kept[d] or "").split()) == out[d].n_words - out[d].n_removed for d in by)
-    assert all(kept[d] == by[d] for d, r in out.items() if not r.repeats)
+    assert all(kept[d] == by[d] for d, r in out.items() if not r.n_removed)
+    long = {1, 100} | {r.doc_id for r in out.values() if any(b - a >= 50 for a, b in zip(r.spans[::2], r.spans[1::2], strict=True))}
+    assert long <= {d for d, r in out.items() if r.repeats}
 
 
 def test_nulls_and_empty_tables(spark):
@@ -68,6 +70,9 @@ def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, t), (1, t), (1, t), (2, "x")], "doc_id long, text string")
     out = sorted(((r.doc_id, r.n_links) for r in repeated_passages(docs).collect()), key=str)
     assert out == [(1, 0), (1, 0), (2, 0), (None, 0)]
+    clash = spark.createDataFrame([(1, t, "a", 1), (2, "y\n" + t, "b", 2), (3, "", "c", 3), (4, None, "d", 4)], "doc_id long, text string, spans_ string, ID_ long")
+    got = without_repeats(clash, repeated_passages(clash))
+    assert got.columns == clash.columns and sorted(map(tuple, got.collect())) == [(1, t, "a", 1), (2, "y\n ", "b", 2), (3, "", "c", 3), (4, None, "d", 4)]
     assert repeated_passages(docs.limit(0)).collect() == []
 
 
@@ -97,7 +102,7 @@ def test_short_paragraphs_equal_brute_force_without_a_floor(spark):
     out = {x.doc_id: x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert pairs == [(10 * n, 10 * n + 1) for n in shared] + [(300, 301), (400, 401)]
     assert {d: x.component_id for d, x in out.items()} == {d: dict((b, a) for a, b in pairs).get(d, d) for d in out}
-    assert {d for d, x in out.items() if x.repeats} == {d for p in pairs for d in p}
+    assert {d for d, x in out.items() if x.n_short_links} == {d for p in pairs for d in p} and not any(x.repeats for x in out.values())
     for n in shared:
         assert (out[10 * n].n_removed, out[10 * n + 1].n_removed, list(out[10 * n + 1].spans)) == (0, n, [30, 30 + n])
     assert out[401].n_removed == 48
