@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusql.llm.common import stage, table
+from corpusql.llm.common import Staged, drop_since, staged, table
 from corpusql.llm.decontaminate import drop_contaminated
 from corpusql.llm.minhash import keep_first
 from corpusql.llm.packing import packed
@@ -19,13 +19,17 @@ STAGES = [
     ("packing", lambda spark, docs, sf_dir: packed(spark, docs, sf_dir)),
 ]
 
-#: Learned models and packing can't be told in SQL: each stage is held against a brute-force version in tests/llm.
+#: Learned models and packing can't be told in SQL: tests/llm/test_pipeline.py holds each stage and the whole run against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage before it returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what each stage before it returns is written and read again.
+
+    Once a stage's rows are written, the tables that it and the stage before have staged are removed."""
+    docs, before = table(spark, sf_dir, "documents"), staged()
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        written = Staged(step(spark, docs, sf_dir), name)
+        drop_since(before, written)
+        docs = written.df
     return STAGES[-1][1](spark, docs, sf_dir)

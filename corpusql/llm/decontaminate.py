@@ -6,9 +6,10 @@ move on when a block ends at the current word; where it says nothing, a block of
 skips m - 1 words. Where the shift is 0 the block picks a bucket of patterns that end so, and direct
 comparison confirms them.
 
-The benchmark is read in blocks of BLOCK_ITEMS items, each sent to the executors once, so what is broadcast
-has a bound however large the benchmark grows; one block is scanned in one pass over the documents, several
-blocks in one pass each, whose hits are united. There is no shuffle with a single block.
+The benchmark is read in blocks of at most BLOCK_ITEMS items and about BLOCK_BYTES of text (an item is never cut),
+each sent to the executors once, so what is broadcast has a bound however large the benchmark grows. A single block
+is scanned in one pass over the documents, without a shuffle. Of several blocks one at a time is on the driver and
+the executors; rows are written first, with a number each, and each pass's hits are written and united by it.
 
 Nulls and edges: a null or wordless text has n_words 0 and isn't contaminated; items without words or id
 are no patterns; repeated rows give a row each; items of one id count once; an empty benchmark finds
@@ -19,15 +20,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import settle, table
+from corpusql.llm.common import Staged, settle, stage, table
 from corpusql.llm.words import BY_LETTER
 
-WINDOW, BLOCK_ITEMS = 10, 20_000
+WINDOW, BLOCK_ITEMS, BLOCK_BYTES = 10, 20_000, 32 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -123,44 +123,55 @@ OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string,
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks: one job a block, so that the driver holds one block at a time."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    last = None
-    while True:
-        rest = items if last is None else items.where(F.col("item_id") > last)
-        got = [(r.item_id, r.text) for r in rest.orderBy("item_id").limit(block).collect()]
-        if len(got) == block:  # an id's rows stay together
-            last = got[-1][0]
-            got = [x for x in got if x[0] != last] + [(r.item_id, r.text) for r in items.where(F.col("item_id") == last).collect()]
+    """Items in blocks, one on the driver at a time; at least one, maybe empty."""
+    got: list[tuple[int, str]] = []
+    size, any_ = 0, False
+    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+        if got and (len(got) >= block or size + len(r.text) > BLOCK_BYTES):
             yield got
-        else:
-            if got or last is None:
-                yield got
-            return
+            got, size, any_ = [], 0, True
+        got.append((r.item_id, r.text))
+        size += len(r.text)
+    if got or not any_:
+        yield got
+
+
+def _in_turn(benchmark: DataFrame, window: int, block: int) -> Iterator[tuple[object, bool]]:
+    """A broadcast searcher for each block, and whether it is the only one; each is freed when the next is asked for."""
+    blocks, sent = _blocks(benchmark, block), None
+    now = next(blocks)
+    alone = True
+    while now is not None:
+        after = next(blocks, None)
+        sent = benchmark.sparkSession.sparkContext.broadcast(Searcher(now, window))
+        yield sent, alone and after is None
+        if after is not None or not alone:
+            sent.unpersist()
+        now, alone = after, False
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_ITEMS) -> DataFrame:
     """A row for each row of docs(doc_id, text, ...): n_words, n_hit (words inside an occurring window), n_items
     and items_sha256 (of the ids, sorted as strings, comma-joined), contaminated, items, spans (the hit words,
     [first, end) pairs in one list)."""
-    spark = settle(docs.sparkSession)
+    settle(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    parts = [docs.mapInArrow(_scanner(spark.sparkContext.broadcast(Searcher(items, window))), OUT) for items in _blocks(benchmark, block)]
-    if len(parts) == 1:
-        return parts[0]
-    keyed = docs.withColumn("row", F.monotonically_increasing_id())  # unites a row's hits, repeated ids or not
-    return _united(keyed, benchmark, window, block)
-
-
-def _united(docs: DataFrame, benchmark: DataFrame, window: int, block: int) -> DataFrame:
-    spark = docs.sparkSession
-    marks = None
-    for items in _blocks(benchmark, block):
-        s = spark.sparkContext.broadcast(Searcher(items, window))
-        one = docs.select(F.struct("row", "doc_id").alias("doc_id"), "text").mapInArrow(_scanner(s), OUT.replace("doc_id long", "doc_id struct<row: long, doc_id: long>"))
+    rows, marks = None, None
+    for sent, alone in _in_turn(benchmark, window, block):
+        if alone:
+            return docs.mapInArrow(_scanner(sent), OUT)
+        rows = rows or Staged(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+        keyed = rows.df.select(F.struct("row", "doc_id").alias("doc_id"), "text")
+        one = stage(keyed.mapInArrow(_scanner(sent), OUT.replace("doc_id long", "doc_id struct<row: long, doc_id: long>")), "marks")
         marks = one if marks is None else marks.unionByName(one)
-    marks = marks.select("doc_id", "n_words", "items", F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.col("spans")[2 * i].alias("a"), F.col("spans")[2 * i + 1].alias("b"))).alias("hit"), F.size("spans").alias("n"))
-    marks = marks.withColumn("hit", F.when(F.col("n") > 0, F.col("hit")).otherwise(F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)")))
+    rows.drop()
+    return _united(marks)
+
+
+def _united(marks: DataFrame) -> DataFrame:
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.col("spans")[2 * i].alias("a"), F.col("spans")[2 * i + 1].alias("b")))
+    none = F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)")
+    marks = marks.select("doc_id", "n_words", "items", F.when(F.size("spans") > 0, pairs).otherwise(none).alias("hit"))
     rows = marks.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.array_sort(F.flatten(F.collect_list("hit"))).alias("hit"))
     merged = F.expr(
         "aggregate(hit, cast(array() as array<bigint>), (s, x) -> case when size(s) > 0 and x.a <= s[size(s) - 1] "
@@ -192,18 +203,25 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents that hold a window of a benchmark item go; the others stay as they are."""
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, block: int = BLOCK_ITEMS) -> DataFrame:
+    """The pipeline's stage: documents that hold a window of a benchmark item go; the others stay as they are.
+
+    Null and wordless texts stay; repeated rows are judged each, alike; an empty table or benchmark changes nothing;
+    columns may have any names, all come back as they are. What is left after each of several blocks is written."""
     settle(spark)
-    keep = docs.columns
-    blocks = list(_blocks(table(spark, sf_dir, "benchmark"), BLOCK_ITEMS))
-    for items in blocks:  # a filter for each block; documents are read once
-        s = spark.sparkContext.broadcast(Searcher(items))
+    before = None
+    for sent, alone in _in_turn(table(spark, sf_dir, "benchmark"), WINDOW, block):
 
-        @F.pandas_udf("long")
-        def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("boolean")
+        def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for t in texts:
-                yield pd.Series([len(s.value.scan(x)[1]) for x in t], dtype="int64")
-
-        docs = docs.where(hits("text") == 0)
-    return docs.select(*keep)
+                yield pa.array([not s.scan(x)[1] for s in [sent.value] for x in t.to_pylist()], pa.bool_())
+
+        docs = docs.where(clean("text"))
+        if not alone:
+            now = Staged(docs, "clean")
+            docs = now.df
+            if before:
+                before.drop()
+            before = now
+    return docs

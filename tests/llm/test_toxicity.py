@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from corpusql.llm.toxicity import buckets, fit, score, train
+from corpusql.llm.toxicity import drop_toxic, fit, score, subwords, train
 
 BAD = ["blorgface", "grumpnit", "snarkwad"]
 
@@ -45,4 +45,34 @@ def test_missing_labels_and_empty_tables(spark):
     labels = spark.createDataFrame([(1, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert score(docs, fit(docs, labels)).collect()[0].score == 0.5
     assert score(docs.limit(0), fit(docs.limit(0), labels.limit(0))).collect() == []
-    assert train(["a"], [1]).scores([""])[0] > 0.99 and list(buckets(None)) == []
+    assert train(["a"], [1]).scores([""])[0] > 0.99 and list(subwords(None)) == []
+
+
+def test_the_order_of_rows_and_repeated_ids_change_nothing(spark):
+    rows, labels = corpus(150)
+    rows += [(3, "another text of the same id"), (4, None)]
+    labels = spark.createDataFrame([*labels, (5, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    one, two = (fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 3)))
+    assert (one.table == two.table).all() and one.bias == two.bias
+
+
+def test_the_bound_in_bytes_and_weights_without_a_cut(spark):
+    rows, labels = corpus(120)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert not fit(docs, marks, sample_bytes=0).table.any() and fit(docs, marks, sample_bytes=20_000).table.any()
+    weight = lambda t: sum(float(w.sum()) for _, w in subwords(t))
+    alone = weight("abc")
+    assert [round(weight(" ".join(["abc"] * n)) / alone, 4) for n in (1, 10, 1000)] == [1.0, round(1 + 2.302585, 4), round(1 + 6.907755, 4)]
+    long = " ".join(f"w{i}x" for i in range(300_000))
+    assert abs(weight(long + " w7x") - weight(long) - 0.6931472 * weight("w7x")) < 1
+
+
+def test_stage_drops_what_the_model_predicts(spark, tmp_path):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame([(*r, "x") for r in rows] + [(None, None, "y"), (7, "", "z")], "doc_id long, text string, Toxic string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = drop_toxic(spark, docs, str(tmp_path))
+    model = fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    want = sorted((r.text or "") for r in docs.collect() if model.scores([r.text])[0] < 0.5)
+    assert out.columns == docs.columns and sorted((r.text or "") for r in out.collect()) == want and 0 < len(want) < 302
+    assert drop_toxic(spark, docs.limit(0), str(tmp_path)).collect() == []
