@@ -21,7 +21,10 @@ FILES_CTE = f"""files AS (SELECT doc_id AS file_id, concat('/lib/', source, '/',
 PAGES_CTE = r"""pages_raw AS (SELECT file_id, page_no, raw_text, replace(lower(raw_text), 'ß', 'ss') AS norm FROM (
   SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS raw_text, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents) WHERE trim(raw_text) <> '')"""
 VERSIONS_CTE = """versions AS (SELECT event_id AS version_id, user_id AS doc_id, epoch(ts) AS ts, ts AS at, CAST(floor(value * 1000) AS BIGINT) AS size, CAST(event_id % 37 AS BIGINT) AS page_count,
-  CASE WHEN event_type = 'error' THEN 'invalid' ELSE 'ok' END AS health, event_type FROM events)"""
+  CASE WHEN event_type = 'error' THEN 'invalid' ELSE 'ok' END AS health, event_type, concat('改 ', event_id % 9, ' 页') AS changed FROM events)"""
+#: A document for each user that has events; its paths over time are where its versions were saved.
+DOCS_CTE = "docs AS (SELECT user_id AS doc_id, concat('/lib/', user_id % 5, '/deck_', user_id, '.pptx') AS path, CASE WHEN user_id % 7 = 3 THEN 'deleted' ELSE 'active' END AS status FROM events GROUP BY user_id)"
+PATHS_CTE = "paths AS (SELECT user_id AS doc_id, concat('/lib/', event_id % 5, '/deck_', user_id, '_', event_id % 4, '.pptx') AS path, min(epoch(ts)) AS first_seen, max(epoch(ts)) AS last_seen FROM events GROUP BY ALL)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +55,20 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("version_id"), F.col("user_id").alias("doc_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("ts").cast("timestamp").alias("at"),
         F.floor(F.col("value") * 1000).cast("long").alias("size"), (F.col("event_id") % 37).alias("page_count"),
-        F.when(F.col("event_type") == "error", "invalid").otherwise("ok").alias("health"), "event_type",
+        F.when(F.col("event_type") == "error", "invalid").otherwise("ok").alias("health"), "event_type", F.concat(F.lit("改 "), F.col("event_id") % 9, F.lit(" 页")).alias("changed"),
     )
+
+
+def managed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, status."""
+    u = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct()
+    path = F.concat(F.lit("/lib/"), F.col("doc_id") % 5, F.lit("/deck_"), F.col("doc_id"), F.lit(".pptx"))
+    return u.select("doc_id", path.alias("path"), F.when(F.col("doc_id") % 7 == 3, "deleted").otherwise("active").alias("status"))
+
+
+def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, first_seen, last_seen: every path that a document was saved at."""
+    e = read(spark, sf_dir, "events")
+    path = F.concat(F.lit("/lib/"), F.col("event_id") % 5, F.lit("/deck_"), F.col("user_id"), F.lit("_"), F.col("event_id") % 4, F.lit(".pptx"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return e.groupBy(F.col("user_id").alias("doc_id"), path.alias("path")).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
