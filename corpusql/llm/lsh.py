@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.common import Staged, drop_since, staged
 from corpusql.llm.graph import components
-from corpusql.llm.words import shingle_sets, shingles, word_hashes
+from corpusql.llm.words import MinHash, pack_low_bits, shingle_sets, shingles, word_hashes
 
 #: Tokens that a row of the prefix filter remembers, so that a pair is made once and not at each common token.
 EARLIER = 64
@@ -65,17 +65,38 @@ def _tokens(n: int):
     return run
 
 
-def linked(keyed: DataFrame, describe: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+def _signed(n: int, minima: int, bits: int):
+    family = MinHash(1, 1, seed=5, total=minima)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            values, at = shingles(*word_hashes(x["text"].to_pylist()), n)
+            sig = pack_low_bits(family.minima(values, at), bits) if len(at) > 1 else np.zeros((0, minima * bits // 64), np.int64)
+            yield pa.RecordBatch.from_arrays([x["id"], pa.array(np.diff(at)), *(pa.array(s) for s in sig.T)], ["id", "size", *(f"s{k}" for k in range(sig.shape[1]))])
+
+    return run
+
+
+def linked(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, percent: int, minima: int, margin: float, bits: int = 4) -> DataFrame:
     """keyed(id: long, key: long; a row may be repeated) -> components(id, root) of the links.
 
-    ``describe``: of some ids the columns (id, ...) that ``alike(x, y)`` needs, a cheap condition on two aliased
-    rows which no true link fails. ``texts_of``: the texts (id, text) of some ids, fetched once for all that share
-    a bucket. Links are confirmed on the full sets of ``n``-word shingles at ``percent`` Jaccard similarity."""
-    before = staged()
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    shared = Staged(keyed.join(buckets, "key").select("key", "id", "n").distinct(), "buckets").df  # only buckets of several members
-    ids = shared.select("id").distinct()
-    side, texts = Staged(describe(ids), "described").df, Staged(texts_of(ids), "texts").df
+    ``texts_of``: the texts (id, text) of some ids, fetched once for all that share a bucket; none is without words.
+    They get signatures of ``minima`` minima of ``bits`` bits; pairs whose similarity these estimate below ``percent``
+    by more than ``margin`` are left out, the others confirmed on full sets of ``n``-word shingles."""
+    before, words = staged(), minima * bits // 64
+    # keys are counted first, in slim rows; an id may be counted twice, so what is left is counted by ids again
+    often = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    some = Staged(keyed.join(often, "key").distinct(), "keys")
+    buckets = some.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = Staged(some.df.join(buckets, "key"), "buckets").df  # only buckets of several members
+    some.drop()
+    texts = Staged(texts_of(shared.select("id").distinct()), "texts").df
+    side = Staged(texts.mapInArrow(_signed(n, minima, bits), "id long, size long, " + ", ".join(f"s{k} long" for k in range(words))), "signed").df
+
+    def alike(x: str, y: str) -> Column:
+        a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+        sig = [[F.col(f"{t}.s{k}") for k in range(words)] for t in (x, y)]
+        return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (similarity(*sig, bits) >= percent / 100 - margin)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         p = pairs.distinct()

@@ -1,10 +1,10 @@
 """MinHash near-dedup with b-bit signatures.
 
 1. Each text becomes its set of hashed word shingles; texts of equal sets are one class from then on.
-2. Each class gets MINIMA minima. Bands of the first of them are its bucket keys; the low BITS bits of each, packed
-   into 64-bit words, are its signature.
-3. Candidates come from buckets (see lsh). The signatures' differing bits, counted and corrected for chance,
-   estimate the similarity; pairs MARGIN, five standard errors, below the threshold are left out.
+2. Each class gets BANDS x ROWS minima; bands of them are its bucket keys.
+3. Candidates come from buckets (see lsh). Classes that share a bucket get signatures: the low BITS bits of MINIMA
+   further minima, packed into 64-bit words. Their differing bits, counted and corrected for chance, estimate the
+   similarity; pairs MARGIN, five standard errors, below the threshold are left out.
 4. The rest is confirmed on full sets, and components of links make the groups.
 
 With 20 bands of 4 rows a pair at similarity 0.8 misses every bucket with probability 3e-5.
@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import Staged, fresh, settle, table
-from corpusql.llm.lsh import linked, similarity
-from corpusql.llm.words import MinHash, pack_low_bits, parts, sequence_hashes, shingles, word_hashes
+from corpusql.llm.lsh import linked
+from corpusql.llm.words import MinHash, parts, sequence_hashes, shingles, word_hashes
 
 BANDS, ROWS, MINIMA, BITS, MARGIN = 20, 4, 128, 4, 0.18
 #: Ids that a partition remembers, so as to sign equal sets once.
 SEEN = 500_000
-WORDS = MINIMA * BITS // 64
-SKETCH = "doc_id long, h long, id long, size long, keys array<long>, sig array<long>"
+SKETCH = "doc_id long, h long, id long, size long, keys array<long>"
 
 
 def lists(values: np.ndarray, at: list[int], rows: int) -> pa.ListArray:
@@ -40,8 +39,8 @@ def lists(values: np.ndarray, at: list[int], rows: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(values.ravel()))
 
 
-def sketches(family: MinHash, values: np.ndarray, at: np.ndarray, ids: np.ndarray, wanted: np.ndarray, seen: set[int]) -> tuple[pa.ListArray, pa.ListArray]:
-    """Band keys and packed signatures of the wanted sets whose id isn't in ``seen`` yet, empty lists for the others.
+def band_keys(family: MinHash, values: np.ndarray, at: np.ndarray, ids: np.ndarray, wanted: np.ndarray, seen: set[int]) -> pa.ListArray:
+    """Band keys of the wanted sets whose id isn't in ``seen`` yet, empty lists for the others.
 
     A partition so signs equal sets once; ``seen`` starts anew beyond SEEN ids."""
     first = []
@@ -52,11 +51,11 @@ def sketches(family: MinHash, values: np.ndarray, at: np.ndarray, ids: np.ndarra
     if len(seen) > SEEN:
         seen.clear()
     m = family.minima(*parts(values, at, np.array(first, np.int64))) if first else np.zeros((0, len(family.a)), np.uint32)
-    return lists(family.keys(m), first, len(ids)), lists(pack_low_bits(m, BITS), first, len(ids))
+    return lists(family.keys(m), first, len(ids))
 
 
 def _sketch(n: int):
-    family = MinHash(BANDS, ROWS, total=MINIMA)
+    family = MinHash(BANDS, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -64,7 +63,7 @@ def _sketch(n: int):
             values, at = shingles(*word_hashes(x["text"].to_pylist()), n)
             ids, size = sequence_hashes(values, at), np.diff(at)
             wanted = (size > 0) & x["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(ids), pa.array(size), *sketches(family, values, at, ids, wanted, seen)], ["doc_id", "h", "id", "size", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(ids), pa.array(size), band_keys(family, values, at, ids, wanted, seen)], ["doc_id", "h", "id", "size", "keys"])
 
     return run
 
@@ -79,20 +78,11 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame,
     able = rows.where("size > 0 and doc_id is not null")
     signed = able.where("size(keys) > 0")
 
-    def describe(ids: DataFrame) -> DataFrame:
-        of = signed.join(ids, "id").groupBy("id").agg(F.first("size").alias("size"), F.first("sig").alias("sig"))
-        return of.select("id", "size", *(F.col("sig")[k].alias(f"s{k}") for k in range(WORDS)))
-
-    def alike(x: str, y: str):
-        a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
-        words = [[F.col(f"{t}.s{k}") for k in range(WORDS)] for t in (x, y)]
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (similarity(*words, BITS) >= percent / 100 - MARGIN)
-
     def texts_of(ids: DataFrame) -> DataFrame:
         want = signed.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "h")).alias("of")).select("id", "of.doc_id", "of.h")
         return docs.join(want, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("id", "text")
 
-    comps = linked(signed.select("id", F.explode("keys").alias("key")), describe, alike, texts_of, n, percent)
+    comps = linked(signed.select("id", F.explode("keys").alias("key")), texts_of, n, percent, MINIMA, MARGIN, BITS)
     return rows.select("doc_id", "h", "id", "size"), able.select("doc_id", "h", "id", "size").join(comps, "id", "left").select("doc_id", "h", "id", "size", F.coalesce("root", "id").alias("root"))
 
 

@@ -39,14 +39,13 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.common import Staged, drop_since, fresh, settle, staged, table
 from corpusql.llm.graph import components
-from corpusql.llm.lsh import linked, similarity
-from corpusql.llm.minhash import sketches
+from corpusql.llm.lsh import linked
+from corpusql.llm.minhash import band_keys
 from corpusql.llm.words import MinHash, grams, line_hashes, parts, sequence_hashes, shingles, slices, word_hashes
 
-WINDOW, GUARANTEE = 25, 50
+WINDOW, GUARANTEE = 16, 50
 REACH = GUARANTEE - WINDOW + 1
 BANDS, ROWS, MINIMA, BITS, MARGIN, SHINGLE, PERCENT = 12, 3, 192, 4, 0.15, 5, 80
-SIG = MINIMA * BITS // 64
 #: Of two sets that differ and are PERCENT alike, the smaller one has LEAST shingles or more.
 LEAST = -(-PERCENT // (100 - PERCENT))
 #: Parts that the rows of a passage are dealt over where they meet its keeper: one passage may be in a third of all documents.
@@ -72,14 +71,14 @@ def winnow(h: np.ndarray, places: int) -> np.ndarray:
     return np.flatnonzero(h == _sliding(np.concatenate([edge, low, edge]), places, np.maximum))
 
 
-UNIT = "kind int, doc_id long, id long, first long, words long, size long, before long, after long, keys array<long>, sig array<long>"
+UNIT = "kind int, doc_id long, id long, first long, words long, size long, before long, after long, keys array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document (id: paragraphs, size: hash of its words); 1: a paragraph, with band keys and signature
+    """kind 0: a document (id: paragraphs, size: hash of its words); 1: a paragraph, with band keys
     where its set has LEAST shingles and is new in the partition; 2: a window (words: how many of REACH follow it;
     before, after: hashes of the words around it)."""
-    family, seen = MinHash(BANDS, ROWS, seed=11, total=MINIMA), set()
+    family, seen = MinHash(BANDS, ROWS, seed=11), set()
     for x in batches:
         h, at, lines, owner = line_hashes(x["text"].to_pylist())
         ids, known = x["doc_id"].to_pylist(), x["doc_id"].is_valid().to_numpy(zero_copy_only=False)
@@ -87,13 +86,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.flatnonzero(known[owner])  # the lines of documents with an id
         values, off = parts(*shingles(h, lines, SHINGLE), own)
         line_ids, size = sequence_hashes(values, off), np.diff(off)
-        keys, sig = sketches(family, values, off, line_ids, size >= LEAST, seen)
+        keys = band_keys(family, values, off, line_ids, size >= LEAST, seen)
         g, windows = grams(h, WINDOW), []
         for i in np.flatnonzero(known).tolist():
             windows.append(at[i] + winnow(g[at[i] : max(at[i], at[i + 1] - WINDOW + 1)], REACH))
         place = np.concatenate([np.zeros(0, np.int64), *windows])
         of = np.searchsorted(at, place, "right") - 1
-        left, last = np.maximum(place - REACH, at[of]), np.minimum(place + GUARANTEE + 1, at[of + 1])
+        left, last = np.maximum(place - REACH, at[of]), np.minimum(place + WINDOW + REACH, at[of + 1])
         before, after = (slices(h, lo, hi).view(np.int64) for lo, hi in ((left, place), (place + WINDOW, last)))
         a, b, c = len(ids), len(own), len(place)
         none, paragraphs = np.zeros(a, np.int64), np.bincount(owner, minlength=a)
@@ -104,7 +103,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.repeat(np.array([0, 1, 2], np.int32), [a, b, c])), pa.array([*ids, *doc[owner[own]].tolist(), *doc[of].tolist()], pa.int64()),
                 spread(paragraphs, line_ids, g[place].view(np.int64)), spread(none, lines[own] - at[owner[own]], place - at[of]),
                 spread(np.diff(at), np.diff(lines)[own], last - place - WINDOW), spread(sequence_hashes(h, at), size, np.zeros(c)),
-                spread(none, np.zeros(b), before), spread(none, np.zeros(b), after), padded(keys), padded(sig),
+                spread(none, np.zeros(b), before), spread(none, np.zeros(b), after), padded(keys),
             ],
             [c.split()[0] for c in UNIT.split(", ")],
         )
@@ -131,21 +130,12 @@ def _clusters(docs: DataFrame, units: DataFrame) -> DataFrame:
     """(id, root) of linked classes of paragraphs; classes of smaller sets link with none."""
     signed = units.where("kind = 1 and size(keys) > 0")
 
-    def describe(ids: DataFrame) -> DataFrame:
-        of = signed.join(ids, "id").groupBy("id").agg(F.first("size").alias("size"), F.first("sig").alias("sig"))
-        return of.select("id", "size", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIG)))
-
-    def alike(x: str, y: str):
-        a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
-        words = [[F.col(f"{t}.s{k}") for k in range(SIG)] for t in (x, y)]
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (similarity(*words, BITS) >= PERCENT / 100 - MARGIN)
-
     def texts_of(ids: DataFrame) -> DataFrame:
         reps = signed.join(ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
         want = reps.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
         return docs.join(want, "doc_id").select("text", "ids").mapInArrow(_wanted, "id long, text string").dropDuplicates(["id"])
 
-    return linked(signed.select("id", F.explode("keys").alias("key")), describe, alike, texts_of, SHINGLE, PERCENT)
+    return linked(signed.select("id", F.explode("keys").alias("key")), texts_of, SHINGLE, PERCENT, MINIMA, MARGIN, BITS)
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +158,13 @@ def _equal(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(n)
 
 
-def _runs(docs: DataFrame, units: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of repeated windows (id, doc_id, kept, first, words, before, after) the runs around them.
+def _runs(docs: DataFrame, rows: DataFrame, found: Staged) -> tuple[DataFrame, DataFrame]:
+    """Of repeated windows (id, doc_id, kept, first, words, before, after), which are removed then, the runs around them.
 
     (doc_id, kept, first, words): what documents share with the keeper; (doc_id, first, words): what keepers have of it.
     Runs are verified and not whole ones yet: those of one document overlap."""
-    texts = units.where("kind = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("size").alias("is"), F.max("size").alias("to"), F.max("words").alias("n")).where("is = to")
+    windows = found.df
+    texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("words_id").alias("is"), F.max("words_id").alias("to"), F.max("n_words").alias("n")).where("is = to")
     away = windows.where("doc_id > kept")
     copies = away.select("doc_id", "kept").distinct().join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("kept"), F.col("is").alias("as")), "kept").where("is = as")
     copies = Staged(copies.select("doc_id", "kept", "n"), "copies")
@@ -190,6 +181,7 @@ def _runs(docs: DataFrame, units: DataFrame, windows: DataFrame) -> tuple[DataFr
 
     met = met.select("doc_id", "kept", "first", "words", place("before").alias("lo_at"), place("after").alias("hi_at"), others("before").alias("lo_of"), others("after").alias("hi_of"))
     met = Staged(met, "met")
+    found.drop()
     open_ = met.df.where("size(lo_of) + size(hi_of) > 0")
     there = open_.select(F.col("kept").alias("doc_id"), F.explode(F.concat("lo_of", "hi_of")).alias("place"))
     wanted = open_.select("doc_id", F.col("first").alias("place")).unionByName(there).distinct().groupBy("doc_id").agg(F.collect_list("place").alias("places"))
@@ -218,8 +210,7 @@ def _runs(docs: DataFrame, units: DataFrame, windows: DataFrame) -> tuple[DataFr
         lo.select(F.col("kept").alias("doc_id"), (F.col("at") - F.col("more")).alias("first"), (w + F.col("more")).alias("words")), hi.select(F.col("kept").alias("doc_id"), F.col("at").alias("first"), (w + F.col("more")).alias("words")),
         copies.df.select(F.col("kept").alias("doc_id"), F.lit(0).cast("long").alias("first"), F.col("n").alias("words")),
     ]
-    union = lambda xs: reduce(DataFrame.unionByName, xs).distinct()
-    return union(out), union(has)
+    return reduce(DataFrame.unionByName, out), reduce(DataFrame.unionByName, has).distinct()
 
 
 def _repeated(held: DataFrame) -> DataFrame:
@@ -260,15 +251,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     comps = _clusters(docs, units.df)
     lines = units.df.where("kind = 1").select("id", "doc_id", "first", "words").join(comps, "id", "left").select(F.coalesce("root", "id").alias("id"), "doc_id", "first", "words")
     lines = Staged(_repeated(lines).select("doc_id", "kept", "first", "words"), "lines").df
-    windows = Staged(_repeated(units.df.where("kind = 2").select("id", "doc_id", "first", "words", "before", "after")), "windows").df
-    runs, has = _runs(docs, units.df, windows)
+    windows = Staged(_repeated(units.df.where("kind = 2").select("id", "doc_id", "first", "words", "before", "after")), "windows")
+    rows = Staged(units.df.where("kind = 0").select("doc_id", F.col("words").alias("n_words"), F.col("id").alias("n_paragraphs"), F.col("size").alias("words_id")), "rows").df
+    units.drop()
+    runs, has = _runs(docs, rows, windows)
     mine = Staged(runs.unionByName(lines), "found").df
     held = mine.unionByName(has.select("doc_id", F.col("doc_id").alias("kept"), "first", "words"))
     joined = components(mine.select(F.col("doc_id").alias("a"), F.col("kept").alias("b")))
     of = _merged(held.select("doc_id", "kept", "first", (F.col("first") + F.col("words")).alias("end"), (F.col("doc_id") > F.col("kept")).alias("away")))
     long = F.expr(f"size(filter(transform(held, (x, i) -> i % 2 = 1 and x - held[i - 1] >= {GUARANTEE}), x -> x))").cast("long")
     of = of.withColumn("n_links", long).withColumn("n_short_links", (F.size("held") / 2).cast("long") - F.col("n_links")).drop("gone", "held")
-    rows = units.df.where("kind = 0").select("doc_id", F.col("words").alias("n_words"), F.col("id").alias("n_paragraphs"))
     out = rows.join(of, "doc_id", "left").join(joined.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     none = F.array().cast("array<long>")
     covered = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (s, x) -> s + x)")
