@@ -1,13 +1,15 @@
 """Merkle fingerprints of documents, in DataFrame functions alone.
 
-The tree: a document's sections (parted by blank lines or headings), their paragraphs (lines), and pieces of
-paragraphs (up to a sentence's end or PIECE characters). A paragraph's node is the SHA-256 of its text, a
-section's that of its paragraphs' nodes, the root that of its sections' nodes with the text's length; so
-equal texts, and no others, have equal roots. Pieces carry 32-bit hashes for likeness below paragraphs.
+The tree: a document's sections (parted before blank lines and headings, which belong to them, so that sections
+in a row are the whole text), their paragraphs (lines, blank ones too), and pieces of paragraphs (up to a sentence's
+end or PIECE characters). A paragraph's node is the SHA-256 of its text, a section's that of its paragraphs' nodes, the
+root that of its sections' nodes; so equal texts, and no others, have equal roots by their nodes alone. Pieces
+carry 32-bit hashes for likeness below paragraphs; equal branches have equal pieces.
 
 A fingerprint is a string: root:section.section...:piece piece ... (hex; sections by 16 digits, pieces by 8).
 Likeness of two is 1 for equal roots, else Dice's coefficient of their sets of pieces: both come from the
-strings' own nodes. ``differing`` walks two trees from the root and names the paragraphs that differ.
+strings' own nodes. ``differing`` walks two trees from the root and names the paragraphs that differ; the query's
+edited_section and edited_paragraph are the first of them between a text and its edited one (null: equal).
 
 The next document of each comes from a window over ranges of doc_id, never over one task: the driver reads
 splitters (approximate quantiles, ids that exist), each range also gets the first row of the range after it,
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import table, text_or_empty
 
 PIECE = 64
-SECTION = r"\n[ \t]*\n\s*|\n(?=#{1,6} )"
+SECTION = r"(?=\n[ \t]*\n)|(?=\n#{1,6} )"
 PIECES = r"[^.!?\n]{1,%d}+(?:[.!?]++[ \t]*+)?|[.!?\n]++[ \t]*+" % PIECE
 
 
@@ -41,9 +43,14 @@ def section_nodes(text: Column) -> Column:
     return F.transform(nodes(text), lambda ps: F.sha2(F.array_join(ps, ""), 256))
 
 
-def root(sections: Column, text: Column) -> Column:
-    """Of section nodes; with the length and an exact hash of the text, as blank lines between sections have no node."""
-    return F.sha2(F.concat_ws(":", F.array_join(sections, ""), F.length(text), F.sha2(text, 256)), 256)
+def root(sections: Column) -> Column:
+    return F.sha2(F.array_join(sections, ""), 256)
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """The place, from 0, of the first nodes in which two arrays differ; null if they are equal."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+    return F.when(at > 0, at - 1)
 
 
 def pieces(text: Column) -> Column:
@@ -65,7 +72,7 @@ def _string(root_: str, sections: str, own: str) -> Column:
 def fingerprint(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     """Adds {prefix}root, {prefix}pieces and {prefix}fingerprint of the column ``text`` (not null)."""
     df = df.withColumn(f"{prefix}sections", section_nodes(F.col(text))).withColumn(f"{prefix}pieces", pieces(F.col(text)))
-    df = df.withColumn(f"{prefix}root", root(F.col(f"{prefix}sections"), F.col(text)))
+    df = df.withColumn(f"{prefix}root", root(F.col(f"{prefix}sections")))
     return df.withColumn(f"{prefix}fingerprint", _string(f"{prefix}root", f"{prefix}sections", f"{prefix}pieces"))
 
 
@@ -126,7 +133,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fingerprint(fingerprint(df, "text"), "edited", "edited_")
     df = df.withColumn("next_pieces", pieces(F.col("next_text")))
     near = F.when(F.col("root") == F.col("edited_root"), 1.0).otherwise(likeness(F.col("pieces"), F.col("edited_pieces")))
+    at = first_difference(F.col("sections"), F.col("edited_sections"))
+    branch = lambda c: F.coalesce(F.get(F.split(c, SECTION), at.cast("int")), F.lit(""))
+    lines = first_difference(*(F.transform(F.split(branch(c), "\n"), lambda p: F.sha2(p, 256)) for c in ("text", "edited")))
     return df.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         near.alias("near_edited"), likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
+        at.cast("long").alias("edited_section"), F.when(at.isNotNull(), lines.cast("long")).alias("edited_paragraph"),
     )

@@ -1,9 +1,10 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from corpusql.llm.fingerprints import differing, fingerprint, op1_fingerprints, with_edits
+from corpusql.llm.fingerprints import PIECES, SECTION, differing, fingerprint, op1_fingerprints, with_edits
 
 
 def corpus():
@@ -27,8 +28,16 @@ def test_query_equals_brute_force(spark, tmp_path):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
+        sets = [set(re.findall(PIECES, x)) for x in (t, edited, after)]
+        dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+        assert abs(r.near_edited - (1.0 if t == edited else dice(sets[0], sets[1]))) < 1e-9 and abs(r.near_next - dice(sets[0], sets[2])) < 1e-9
         if t == edited:
-            assert r.near_edited == 1
+            assert r.near_edited == 1 and r.edited_section is None and r.edited_paragraph is None
+        else:
+            a, b = ([s.split("\n") for s in re.split(SECTION, x)] for x in (t, edited))
+            k = next(i for i in range(max(len(a), len(b))) if a[i : i + 1] != b[i : i + 1])
+            x, y = (v[k] if k < len(v) else [""] for v in (a, b))
+            assert r.edited_section == k and r.edited_paragraph == next((i for i in range(max(len(x), len(y))) if x[i : i + 1] != y[i : i + 1]), None)
         for j, (e, _) in enumerate(rows):
             assert (out[e].fingerprint == r.fingerprint) == (texts[j] == t)
     long = [out[d].near_edited for d, t in rows if t and len(t) > 400]
@@ -47,7 +56,7 @@ def test_likeness_of_next_and_ties(spark):
 def test_differing_branches(spark):
     a = "p1\np2\n\n# H\nq1\nq2"
     pairs = spark.createDataFrame([(1, a, a), (2, a, a.replace("q2", "Q2")), (3, a, a + "\nq3"), (4, None, "")], "pair_id long, a string, b string")
-    assert sorted(tuple(r) for r in differing(pairs, "a", "b").collect()) == [(2, 1, 2), (3, 1, 3)]
+    assert sorted(tuple(r) for r in differing(pairs, "a", "b").collect()) == [(2, 2, 3), (3, 2, 4)]
 
 
 def test_long_text(spark):
