@@ -7,8 +7,9 @@ base 32, identifiers name-based UUIDs of the source's identifier, the record's t
 a second run gives the same records. There is no shuffle: records are derived where the response is read.
 
 Text: comments, scripts, styles and the like go; block elements end lines; entities are resolved; white
-space is joined. A head goes as far as it holds what a head can hold, closed or not; of a noscript, template
-or svg that isn't closed only the tag goes. Whole pages are read.
+space is joined. Titles, noscripts, templates and svgs go; of one that isn't closed only the tag does. Whole pages are
+read, each in a single pass, so that no page costs more than its length. ``read_responses`` reads WARC files; the
+table ``pages`` has no headers, so op4's responses get a status line, a type and a length of their own.
 
 Nulls and edges: a null or empty page gives records of no text; a null URL gives none of that header;
 repeated rows give repeated records; an empty table gives no rows; other columns aren't read."""
@@ -16,6 +17,7 @@ repeated rows give repeated records; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -29,15 +31,14 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import settle, table
 
 DATE = "2024-01-01T00:00:00Z"
-_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-_COMMENT = r"<!--.*?(?:-->|\Z)"
-#: What a head can hold: anything else, and <body, ends it.
-_HEAD = rf"<head\b{_ATTRIBUTES}(?:\s+|{_COMMENT}|<(?P<held>title|noscript|template)\b.*?</(?P=held)\s*>|<(?P<raw>script|style)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?:meta|link|base|basefont|bgsound)\b{_ATTRIBUTES})*(?:</head\s*>)?"
-_MARKUP = re.compile(rf"{_COMMENT}|{_HEAD}|<(?P<gone>script|style)\b.*?(?:</(?P=gone)\s*>|\Z)|<(?P<shut>noscript|template|svg(?![^<>]*/>))\b.*?</(?P=shut)\s*>|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9]*){_ATTRIBUTES}|<[!?][^>]*>", re.S | re.I)
+#: A tag: what isn't quoted in it holds no "<", and nothing is tried twice, so a page is read in one pass whatever it holds.
+_TOKEN = re.compile(r"<(?:!--|(?P<shut>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*+)(?P<rest>(?:[^'\"<>]++|\"[^\"]*+\"|'[^']*+')*+)>|[!?][^<>]*+>)")
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose contents aren't text; of those in _OPEN the rest of the page goes if they aren't closed, of the others the tag only.
+_GONE, _OPEN = frozenset("script style noscript template svg title".split()), frozenset("script style".split())
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in _GONE}
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_HREF = re.compile(r"(?:^|\s|[\"'])href\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -49,12 +50,40 @@ def identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
-def plain_text(page: str | None) -> str:
-    def end(m: re.Match) -> str:
-        return "\n" if m["tag"] and m["tag"].lstrip("/").lower() in _BLOCKS else ""
+def parsed(page: str | None) -> tuple[str, str | None, str | None, list[str]]:
+    """(text, title, language, links) of a page, in one pass."""
+    page = page or ""
+    out, links, title, lang = [], [], None, None
+    at, unclosed = 0, set()
+    for m in iter(lambda: _TOKEN.search(page, at), None):
+        out.append(page[at : m.start()])
+        at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            continue
+        name = (m["tag"] or "").lower()
+        if not m["shut"] and name in _GONE and name not in unclosed and not (name == "svg" and m["rest"].endswith("/")):
+            if end := _CLOSE[name].search(page, at):
+                if name == "title" and title is None:
+                    title = page[at : end.start()]
+                at = end.end()
+            elif name in _OPEN:
+                at = len(page)
+            else:
+                unclosed.add(name)  # nor is it closed further on
+        elif not m["shut"] and name == "a" and (h := _HREF.search(m["rest"])):
+            links.append(next((x for x in h.groups() if x is not None), ""))
+        elif not m["shut"] and name == "html" and lang is None and (h := _LANG.search(m["rest"])):
+            lang = h[1].lower()
+        if name in _BLOCKS:
+            out.append("\n")
+    text = html.unescape("".join([*out, page[at:]]))
+    return "\n".join(x for x in (_SPACES.sub(" ", ln).strip() for ln in text.split("\n")) if x), title, lang, links
 
-    text = html.unescape(_MARKUP.sub(end, page or ""))
-    return "\n".join(x for x in (_SPACES.sub(" ", ln).strip() for ln in text.split("\n")) if x)
+
+def plain_text(page: str | None) -> str:
+    return parsed(page)[0]
 
 
 def _clean(s: str) -> str:
@@ -63,15 +92,15 @@ def _clean(s: str) -> str:
 
 def fields(page: str | None, headers: str) -> str:
     """application/warc-fields of a page: one a line."""
-    page = page or ""
-    out = []
-    if m := _TITLE.search(page):
-        out.append(f"title: {_clean(m[1])}")
-    if m := _LANG.search(page):
-        out.append(f"language: {m[1].lower()}")
+    return _fields(*parsed(page)[1:], headers)
+
+
+def _fields(title: str | None, lang: str | None, links: list[str], headers: str) -> str:
+    out = [] if title is None else [f"title: {_clean(title)}"]
+    out += [] if lang is None else [f"language: {lang}"]
     lines = headers.split("\r\n")
     out += [f"source-status: {lines[0]}", *(f"source-header: {x}" for x in lines[1:] if x)]
-    out += [f"outlink: {_clean(next(filter(None, m), ''))}" for m in _LINK.findall(page)]
+    out += [f"outlink: {_clean(x)}" for x in links]
     return "".join(x + "\r\n" for x in out)
 
 
@@ -97,7 +126,8 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
             rows = []
             for k, rid, uri, date, headers, page in zip(*(x[c].to_pylist() for c in (key, "record_id", "target_uri", "warc_date", "http_headers", "payload")), strict=True):
                 source, headers = digest((page or "").encode("utf-8", "replace")), headers or ""
-                for kind, mime, content in (("metadata", "application/warc-fields", fields(page, headers)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+                text, *found = parsed(page)
+                for kind, mime, content in (("metadata", "application/warc-fields", _fields(*found, headers)), ("conversion", "text/plain; charset=utf-8", text)):
                     block = content.encode("utf-8", "replace")
                     d = digest(block)
                     rows.append((k, identifier(rid or "", kind, d), kind, rid, uri, date, mime, headers, source, d, len(block), content))
@@ -110,23 +140,64 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def to_warc(row) -> bytes:
-    """The bytes of one record, WARC/1.1."""
-    heads = [("WARC-Type", row.warc_type), ("WARC-Record-ID", row.record_id), ("WARC-Refers-To", row.refers_to), ("WARC-Target-URI", row.target_uri), ("WARC-Date", row.warc_date), ("WARC-Block-Digest", row.block_digest), ("X-Source-Payload-Digest", row.payload_digest), ("X-Source-Headers", base64.b64encode((row.source_headers or "").encode()).decode()), ("Content-Type", row.content_type), ("Content-Length", str(row.content_length))]
+    """The bytes of one record, WARC/1.1; the source's HTTP headers go along in base 64, as a header of their own."""
+    heads = [("WARC-Type", row.warc_type), ("WARC-Record-ID", row.record_id), ("WARC-Refers-To", row.refers_to), ("WARC-Target-URI", row.target_uri), ("WARC-Date", row.warc_date), ("WARC-Block-Digest", row.block_digest), ("WARC-Payload-Digest", row.payload_digest), ("X-Source-Headers", base64.b64encode((row.source_headers or "").encode()).decode()), ("Content-Type", row.content_type), ("Content-Length", str(row.content_length))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads if v is not None).encode() + b"\r\n" + row.content.encode("utf-8", "replace") + b"\r\n\r\n"
 
 
 def from_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record."""
+    """(headers, block) of each record of a WARC file, plain or gzip (a member a record, or all in one).
+
+    Names of headers come in lower case; lines that go on are joined, lines without a colon left out. Bytes that are no
+    record raise ValueError; a block that the file cuts off comes as far as it goes."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split("\r\n")
-        if first != "WARC/1.1":
+        if data[at : at + 1] in b"\r\n":
+            at += 1
+            continue
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no record at byte {at}")
-        heads = dict(x.split(": ", 1) for x in lines)
-        n = int(heads["Content-Length"])
+        lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split("\r\n")[1:]
+        heads = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
+        n = int(heads.get("content-length", 0))
         yield heads, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        at = end + 4 + n
+
+
+RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, payload string, digest_ok boolean"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """RESPONSE rows of the WARC files at ``path`` that any of Spark's file systems reads, for ``derivatives``.
+
+    Of each response record the HTTP headers as they stand and the body as text (charset of Content-Type, else UTF-8);
+    digest_ok: whether its payload digest is right (null: none, or not of SHA-1). A file is one task's work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for data in x["content"].to_pylist():
+                rows = []
+                for h, block in from_warc(data):
+                    if h.get("warc-type") != "response":
+                        continue
+                    head, _, body = block.partition(b"\r\n\r\n")
+                    http = head.decode("utf-8", "replace")
+                    charset = re.search(r"(?im)^content-type:[^\r\n]*charset=\"?([\w-]+)", http)
+                    try:
+                        text = body.decode(charset[1] if charset else "utf-8", "replace")
+                    except LookupError:
+                        text = body.decode("utf-8", "replace")
+                    said = h.get("warc-payload-digest", "")
+                    rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), http, text, said == digest(body) if said.startswith("sha1:") else None))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                types = [*[pa.string()] * 5, pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in RESPONSE.split(", ")])
+
+    settle(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
 
 
 def warc_blocks(records: DataFrame) -> DataFrame:
