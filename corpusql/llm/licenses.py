@@ -14,7 +14,7 @@
 
 Nulls and edges: null or empty texts have no header but may inherit; a null path has no directory and
 inherits nothing; of ties the higher cosine, then the smaller license, then the smaller path counts; repeated
-rows give a row each; an empty table gives no rows; columns that aren't asked for aren't read."""
+rows, ids and null ids give a row each, judged by its own text; an empty table gives no rows; columns that aren't asked for aren't read."""
 
 from __future__ import annotations
 
@@ -129,9 +129,10 @@ def parent(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """file, path, license, how (header, file, inherited, none), cosine, licence_dir of files(file: long, path, text)."""
-    units = Staged(headers(files), "files").df
-    own = Staged(declared(units.where("any").select("file", "headers"), templates), "declared").df
-    stated = units.where("any").select("file", "path", "licence_file").distinct().join(own, "file")
+    # each row is a file of its own, whatever its id: rows are numbered in the table that is written
+    units = Staged(headers(files.select("*")).withColumn("row", F.monotonically_increasing_id()), "files").df
+    own = Staged(declared(units.where("any").select(F.col("row").alias("file"), "headers"), templates).withColumnRenamed("file", "row"), "declared").df
+    stated = units.where("any").select("row", "path", "licence_file").join(own, "row")
     of = stated.where("licence_file and path is not null").withColumn("dir", parent(F.col("path")))
     pick = F.min_by(F.struct("license", "path"), F.struct(-F.col("cosine"), "license", "path"))
     dirs = of.groupBy("dir").agg(pick.alias("x")).select(F.col("dir").alias("up"), "x.license")
@@ -141,7 +142,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> DataF
     rooted = F.when(F.col("dir").startswith("/"), F.transform(ups, lambda p: F.when(p == "", "").otherwise(F.concat(F.lit("/"), p)))).otherwise(ups)
     near = here.select("dir", F.posexplode(rooted).alias("depth", "up")).join(dirs, "up")
     near = near.groupBy("dir").agg(F.max_by(F.struct("license", "up"), "depth").alias("x")).select("dir", F.col("x.license").alias("given"), F.col("x.up").alias("licence_dir"))
-    out = units.withColumn("dir", parent(F.col("path"))).join(near, "dir", "left").join(own, "file", "left")
+    out = units.withColumn("dir", parent(F.col("path"))).join(near, "dir", "left").join(own, "row", "left")
     how = F.when(F.col("license").isNotNull(), F.when(F.col("licence_file"), "file").otherwise("header")).when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select("file", "path", F.coalesce("license", "given").alias("license"), how.alias("how"), "cosine", F.when(how == "inherited", F.col("licence_dir")).alias("licence_dir"))
 

@@ -71,3 +71,11 @@ def test_every_template_is_found_as_its_own(spark):
     wrapped = [(100 + k, f"w{k}/x", "\n".join(" ".join(t.split()[i : i + 6]) for i in range(0, len(t.split()), 6)), n) for k, _, t, n in rows]
     out = {r.file: r.license for r in scan(spark.createDataFrame([x[:3] for x in rows + wrapped], "file long, path string, text string")).collect()}
     assert out == {k: n for k, _, _, n in rows + wrapped}
+
+
+def test_rows_of_one_id_and_of_none_are_files_of_their_own(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(5, "x/a.txt", mit), (5, "x/b.txt", apache), (None, "x/c.txt", mit), (None, "x/d.txt", "plain"), (5, "x/a.txt", mit)]
+    out = sorted((str(r.file), r.path, str(r.license)) for r in scan(spark.createDataFrame([(*r, 1, 2) for r in rows], "file long, path string, text string, row int, dir int")).collect())
+    known = {"x/a.txt": "MIT", "x/b.txt": "Apache-2.0", "x/c.txt": "MIT"}
+    assert [(f, p) for f, p, _ in out] == sorted((str(f), p) for f, p, _ in rows) and all(known.get(p, lic) == lic for _, p, lic in out)
