@@ -197,18 +197,24 @@ def secret_findings(docs: DataFrame, path: Column, forest=None, threshold: float
     )
 
 
-def source_path() -> Column:
-    return F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
+def source_path(docs: DataFrame) -> Column:
+    """{source}/{lang}/doc_{doc_id}.txt of the columns that there are."""
+    return F.concat_ws("/", *(F.col(c).cast("string") for c in ("source", "lang") if c in docs.columns), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_findings(table(spark, sf_dir, "documents"), source_path())
+    docs = table(spark, sf_dir, "documents")
+    return secret_findings(docs, source_path(docs))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str, mark: str = "[SECRET]") -> DataFrame:
-    """The pipeline's stage: every document stays; found secrets in its text are replaced by ``mark``."""
-    df = scanned(docs, source_path(), train(spark))
+    """The pipeline's stage: every document stays; found secrets in its text are replaced by ``mark``.
+
+    Null and empty texts stay as they are, as does a text without a found secret; repeated rows are treated each,
+    alike; an empty table stays empty; columns may have any names, and source and lang may be missing."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text"), source_path(docs).alias("__p"))
+    df = scanned(packed, F.col("__p"), train(spark), "__text")
     ends = F.transform("__found", lambda x: F.when(x["score"] >= 0.5, F.lit(mark)).otherwise(x["c"]))
     joined = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col("__pieces").alias("p"), F.concat(ends, F.array(F.lit(""))).alias("e")), lambda z: F.array(z["p"], z["e"]))), "")
-    out = F.when(F.exists("__found", lambda x: x["score"] >= 0.5), joined).otherwise(F.col("text"))
-    return df.withColumn("text", out).select(*docs.columns)
+    out = F.when(F.exists("__found", lambda x: x["score"] >= 0.5), joined).otherwise(F.col("__text"))
+    return df.select(*(out.alias(c) if c.lower() == "text" else F.col("__row")[c].alias(c) for c in docs.columns))

@@ -97,3 +97,14 @@ def test_every_made_secret_is_a_candidate(spark, forest):
     df = spark.createDataFrame(rows, "doc_id long, text string, c string")
     found = secret_findings(df, F.lit("src/app.py"), forest).select("doc_id", "sha256")
     assert df.select("doc_id", F.sha2("c", 256).alias("sha256"), "c").join(found, ["doc_id", "sha256"], "left_anti").collect() == []
+
+
+def test_stage_on_clashing_names_and_few_columns(spark):
+    secrets, clean = texts()
+    few = spark.createDataFrame(list(enumerate(secrets + clean)), "doc_id long, text string")
+    wide = few.selectExpr("1 as __found", "doc_id", "'x' as __c", "text", "2 as `a.b`", "3 as __row", "4 as __p")
+    for docs in (few, wide):
+        out = redacted(spark, docs, "")
+        assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {i: PY.sub("[SECRET]", t) if i < len(secrets) else t for i, t in enumerate(secrets + clean)}
+    assert {(r["__found"], r["__c"], r["a.b"], r["__row"], r["__p"]) for r in redacted(spark, wide, "").collect()} == {(1, "x", 2, 3, 4)}
+    assert redacted(spark, wide.limit(0), "").collect() == []
