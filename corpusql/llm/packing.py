@@ -285,6 +285,31 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def conversation_examples(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """example_id, n_tokens, n_segments, n_loss of turns(conv_id, turn, role, text): only an assistant's tokens bear loss.
+
+    A null text has no tokens but the id 0 after each turn; turns of a null conv_id are one example."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for x in batches:
+            n = [len(i) + 1 for i in encode([t or "" for t in x["text"].to_pylist()])]
+            loss = [k if r == "assistant" else 0 for k, r in zip(n, x["role"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x["conv_id"], pa.array(n, pa.int64()), pa.array(loss, pa.int64())], ["conv_id", "n", "loss"])
+
+    settle(turns.sparkSession)
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text").mapInArrow(run, "conv_id long, n long, loss long")
+    return t.groupBy(F.col("conv_id").alias("example_id")).agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_segments"), F.sum("loss").alias("n_loss"))
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in bins under limits of tokens, segments and loss-bearing tokens at once: example_id, bin_id, slot."""
+    return pack_examples(conversation_examples(table(spark, sf_dir, "conversations"), tokenizer_file()))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: pieces of sequences, with their ids."""
+    """The pipeline's last stage: pieces of sequences, with their ids.
+
+    Null and empty texts give the id 0 alone; repeated rows and ids are packed each; an empty table gives no rows;
+    only doc_id and text are read, so other columns may have any names."""
     return pack_documents(docs, tokenizer_file(), with_ids=True)

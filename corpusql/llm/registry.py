@@ -6,7 +6,7 @@ from corpusql.llm.decontaminate import OP2_SQL, op2_decontamination
 from corpusql.llm.fingerprints import op1_fingerprints
 from corpusql.llm.licenses import op9_licenses
 from corpusql.llm.minhash import op7_minhash
-from corpusql.llm.packing import op5_packing
+from corpusql.llm.packing import op5_packing, pack_conversations
 from corpusql.llm.secrets import op6_secrets
 from corpusql.llm.sharding import op10_sharding
 from corpusql.llm.substrings import op3_substrings
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_sharding": op10_sharding,
+    "pack_conversations": pack_conversations,
 }
 
 ORACLE_SQL = {

@@ -76,3 +76,30 @@ def test_examples_keep_every_limit(spark):
     assert all((s <= (4096, 64, 2048)).all() for s, b in zip(sums, bins.values(), strict=True) if (0, 3000) not in b)
     least = max(np.ceil(np.sum([v[i] for i in range(3000)], axis=0) / (4096, 64, 2048)))
     assert len(bins) <= 1.05 * least + 2
+
+
+def test_conversations_stay_whole_within_all_limits(spark, tmp_path):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from corpusql.llm.packing import conversation_examples, pack_conversations, tokenizer_file
+
+    r, t = random.Random(1), Tokenizer.from_file(tokenizer_file())
+    rows = [(c, k, r.choice(["user", "assistant"]), " ".join(["word"] * r.randint(0, 400))) for c in range(80) for k in range(r.randint(1, 9))] + [(200, 0, "assistant", None), (201, 0, None, "x" * 30_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for c, _, role, x in rows:
+        n, s, loss = want.get(c, (0, 0, 0))
+        k = len(t.encode(x or "", add_special_tokens=False).ids) + 1
+        want[c] = (n + k, s + 1, loss + k * (role == "assistant"))
+    assert {x.example_id: (x.n_tokens, x.n_segments, x.n_loss) for x in conversation_examples(turns, tokenizer_file()).collect()} == want
+    bins = {}
+    out = pack_conversations(spark, str(tmp_path)).collect()
+    for x in out:
+        bins.setdefault(x.bin_id, []).append(x)
+    assert sorted(x.example_id for x in out) == sorted(want)
+    for xs in bins.values():
+        assert sorted(x.slot for x in xs) == list(range(len(xs)))
+        assert len(xs) == 1 or all(sum(want[x.example_id][k] for x in xs) <= limit for k, limit in enumerate((4096, 64, 2048)))
