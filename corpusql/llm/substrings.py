@@ -76,8 +76,8 @@ UNIT = "kind int, doc_id long, id long, first long, words long, size long, befor
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a document (id: paragraphs, size: hash of its words); 1: a paragraph, with band keys
-    where its set has LEAST shingles and is new in the partition; 2: a window (words: how many of REACH follow it;
-    before, after: hashes of the words around it)."""
+    where its set has LEAST shingles and is new in the partition; 2: a window (words: how many of REACH follow it,
+    and bits of the words next to it; before, after: hashes of the words around it)."""
     family, seen = MinHash(BANDS, ROWS, seed=11), set()
     for x in batches:
         h, at, lines, owner = line_hashes(x["text"].to_pylist())
@@ -94,6 +94,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.searchsorted(at, place, "right") - 1
         left, last = np.maximum(place - REACH, at[of]), np.minimum(place + WINDOW + REACH, at[of + 1])
         before, after = (slices(h, lo, hi).view(np.int64) for lo, hi in ((left, place), (place + WINDOW, last)))
+        # the words next to a window, as 16 bits each, stand above the count of those that follow it
+        near = [np.where(there, h[np.clip(i, 0, max(len(h) - 1, 0))] >> np.uint64(48), 0).astype(np.int64) if len(h) else np.zeros(0, np.int64) for i, there in ((place - 1, left < place), (place + WINDOW, last > place + WINDOW))]
+        follow = (last - place - WINDOW) | near[0] << 8 | near[1] << 24
         a, b, c = len(ids), len(own), len(place)
         none, paragraphs = np.zeros(a, np.int64), np.bincount(owner, minlength=a)
         spread = lambda u, v, w: pa.array(np.concatenate([u, v, w]).astype(np.int64))
@@ -102,7 +105,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.repeat(np.array([0, 1, 2], np.int32), [a, b, c])), pa.array([*ids, *doc[owner[own]].tolist(), *doc[of].tolist()], pa.int64()),
                 spread(paragraphs, line_ids, g[place].view(np.int64)), spread(none, lines[own] - at[owner[own]], place - at[of]),
-                spread(np.diff(at), np.diff(lines)[own], last - place - WINDOW), spread(sequence_hashes(h, at), size, np.zeros(c)),
+                spread(np.diff(at), np.diff(lines)[own], follow), spread(sequence_hashes(h, at), size, np.zeros(c)),
                 spread(none, np.zeros(b), before), spread(none, np.zeros(b), after), padded(keys),
             ],
             [c.split()[0] for c in UNIT.split(", ")],
@@ -158,10 +161,10 @@ def _equal(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(n)
 
 
-def _runs(docs: DataFrame, rows: DataFrame, found: Staged) -> tuple[DataFrame, DataFrame]:
+def _runs(docs: DataFrame, rows: DataFrame, found: Staged) -> DataFrame:
     """Of repeated windows (id, doc_id, kept, first, words, before, after), which are removed then, the runs around them.
 
-    (doc_id, kept, first, words): what documents share with the keeper; (doc_id, first, words): what keepers have of it.
+    (doc_id, kept, first, words, away): what documents share with the keeper, and (away false) what keepers have of it.
     Runs are verified and not whole ones yet: those of one document overlap."""
     windows = found.df
     texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("words_id").alias("is"), F.max("words_id").alias("to"), F.max("n_words").alias("n")).where("is = to")
@@ -169,7 +172,12 @@ def _runs(docs: DataFrame, rows: DataFrame, found: Staged) -> tuple[DataFrame, D
     copies = away.select("doc_id", "kept").distinct().join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("kept"), F.col("is").alias("as")), "kept").where("is = as")
     copies = Staged(copies.select("doc_id", "kept", "n"), "copies")
     mine = windows.where("doc_id = kept")
-    sides = {c: mine.groupBy("id", c).agg(F.min("first").alias("at"), F.max("words").alias("words")).groupBy("id").agg(F.collect_list(F.struct(F.col(c).alias("h"), "at")).alias(f"{c}s")) for c in ("before", "after")}
+    bits = {"before": 8, "after": 24}
+
+    def near(words: Column, c: str) -> Column:
+        return F.shiftright(words, bits[c]).bitwiseAND(F.lit(0xFFFF))
+
+    sides = {c: mine.groupBy("id", c).agg(F.min("first").alias("at"), F.first(near(F.col("words"), c)).alias("near")).groupBy("id").agg(F.collect_list(F.struct(F.col(c).alias("h"), "at", "near")).alias(f"{c}s")) for c in bits}
     keeper = sides["before"].join(sides["after"], "id").withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
     met = away.join(copies.df.select("doc_id", "kept"), ["doc_id", "kept"], "left_anti").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(keeper, ["id", "salt"])
 
@@ -177,9 +185,11 @@ def _runs(docs: DataFrame, rows: DataFrame, found: Staged) -> tuple[DataFrame, D
         return F.try_element_at(F.filter(f"{c}s", lambda x: x["h"] == F.col(c)), F.lit(1))["at"]
 
     def others(c: str) -> Column:
-        return F.when(place(c).isNull(), F.transform(f"{c}s", lambda x: x["at"])).otherwise(F.array().cast("array<long>"))
+        """Else its windows next to which the same word may stand; where there is none, one of them, for the words of the window."""
+        like = F.filter(f"{c}s", lambda x: x["near"] == near(F.col("words"), c))
+        return F.when(place(c).isNull(), F.transform(F.when(F.size(like) > 0, like).otherwise(F.slice(f"{c}s", 1, 1)), lambda x: x["at"])).otherwise(F.array().cast("array<long>"))
 
-    met = met.select("doc_id", "kept", "first", "words", place("before").alias("lo_at"), place("after").alias("hi_at"), others("before").alias("lo_of"), others("after").alias("hi_of"))
+    met = met.select("doc_id", "kept", "first", F.col("words").bitwiseAND(F.lit(0xFF)).alias("words"), place("before").alias("lo_at"), place("after").alias("hi_at"), others("before").alias("lo_of"), others("after").alias("hi_of"))
     met = Staged(met, "met")
     found.drop()
     open_ = met.df.where("size(lo_of) + size(hi_of) > 0")
@@ -196,21 +206,26 @@ def _runs(docs: DataFrame, rows: DataFrame, found: Staged) -> tuple[DataFrame, D
         return rows.join(a, ["doc_id", "first"]).join(b, ["kept", "at"]).where("a = b").select("doc_id", "kept", "first", "at", _equal(F.col("x"), F.col("y")).cast("long").alias("more"))
 
     w, reach = F.lit(WINDOW).cast("long"), F.least(F.col("first"), F.lit(REACH).cast("long"))
-    lo, hi = ends("lo_of", "left"), ends("hi_of", "right")
-    same_lo, same_hi = met.df.where("lo_at is not null"), met.df.where("hi_at is not null")
-    either = F.coalesce(F.when(F.col("lo_at").isNotNull(), reach), F.lit(0).cast("long"))
-    or_ = F.coalesce(F.when(F.col("hi_at").isNotNull(), F.col("words")), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def spans(rows: DataFrame, first: Column, at: Column, words: Column) -> DataFrame:
+        """A row of the document and one of its keeper."""
+        of = F.struct("doc_id", "kept", first.alias("first"), words.cast("long").alias("words"), F.lit(True).alias("away"))
+        has = F.struct(F.col("kept").alias("doc_id"), "kept", at.alias("first"), words.cast("long").alias("words"), F.lit(False).alias("away"))
+        return rows.select(F.explode(F.array(of, has)).alias("x")).select("x.*").where("first is not null")
+
+    reach = F.when(F.col("lo_at").isNotNull(), reach).otherwise(zero)
+    follow = F.when(F.col("hi_at").isNotNull(), F.col("words")).otherwise(zero)
+    same = met.df.where("lo_at is not null or hi_at is not null")
+    both = F.when(F.col("lo_at").isNotNull() & F.col("hi_at").isNotNull() & (F.col("lo_at") != F.col("hi_at")), F.lit(None)).otherwise(F.coalesce("lo_at", "hi_at") - reach)
+    apart = same.where("lo_at <> hi_at")  # the keeper has the window twice: each side stands elsewhere
     out = [
-        met.df.where("lo_at is not null or hi_at is not null").select("doc_id", "kept", (F.col("first") - either).alias("first"), (w + either + or_).alias("words")),
-        lo.select("doc_id", "kept", (F.col("first") - F.col("more")).alias("first"), (w + F.col("more")).alias("words")), hi.select("doc_id", "kept", "first", (w + F.col("more")).alias("words")),
-        copies.df.select("doc_id", "kept", F.lit(0).cast("long").alias("first"), F.col("n").alias("words")),
-    ]
-    has = [
-        same_lo.select(F.col("kept").alias("doc_id"), (F.col("lo_at") - reach).alias("first"), (w + reach).alias("words")), same_hi.select(F.col("kept").alias("doc_id"), F.col("hi_at").alias("first"), (w + F.col("words")).alias("words")),
-        lo.select(F.col("kept").alias("doc_id"), (F.col("at") - F.col("more")).alias("first"), (w + F.col("more")).alias("words")), hi.select(F.col("kept").alias("doc_id"), F.col("at").alias("first"), (w + F.col("more")).alias("words")),
-        copies.df.select(F.col("kept").alias("doc_id"), F.lit(0).cast("long").alias("first"), F.col("n").alias("words")),
+        spans(same, F.col("first") - reach, both, w + reach + follow), spans(apart, F.lit(None).cast("long"), F.col("lo_at") - reach, w + reach), spans(apart, F.lit(None).cast("long"), F.col("hi_at"), w + follow),
+        spans(copies.df.withColumnRenamed("n", "words"), zero, zero, F.col("words")),
     ]
-    return reduce(DataFrame.unionByName, out), reduce(DataFrame.unionByName, has).distinct()
+    for of, side, back in (("lo_of", "left", F.col("more")), ("hi_of", "right", zero)):
+        out.append(spans(ends(of, side), F.col("first") - back, F.col("at") - back, w + F.col("more")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _repeated(held: DataFrame) -> DataFrame:
@@ -254,9 +269,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     windows = Staged(_repeated(units.df.where("kind = 2").select("id", "doc_id", "first", "words", "before", "after")), "windows")
     rows = Staged(units.df.where("kind = 0").select("doc_id", F.col("words").alias("n_words"), F.col("id").alias("n_paragraphs"), F.col("size").alias("words_id")), "rows").df
     units.drop()
-    runs, has = _runs(docs, rows, windows)
-    mine = Staged(runs.unionByName(lines), "found").df
-    held = mine.unionByName(has.select("doc_id", F.col("doc_id").alias("kept"), "first", "words"))
+    found = Staged(_runs(docs, rows, windows).unionByName(lines.withColumn("away", F.lit(True))), "found").df
+    mine = found.where("away").drop("away")
+    held = mine.unionByName(found.where("not away").drop("away").distinct())  # a popular keeper's rows are the same over and over
     joined = components(mine.select(F.col("doc_id").alias("a"), F.col("kept").alias("b")))
     of = _merged(held.select("doc_id", "kept", "first", (F.col("first") + F.col("words")).alias("end"), (F.col("doc_id") > F.col("kept")).alias("away")))
     long = F.expr(f"size(filter(transform(held, (x, i) -> i % 2 = 1 and x - held[i - 1] >= {GUARANTEE}), x -> x))").cast("long")
