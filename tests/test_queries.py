@@ -9,7 +9,7 @@ from corpusql.functions import text as T
 from corpusql.plans import search as S
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "lineitem orders events documents conversations".split()
+TABLES = "lineitem orders events documents conversations part".split()
 
 
 @pytest.fixture(scope="module")
