@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusql.functions.text import normalize
+
 DAY = 86_400
 #: The moment that stands for now, so that results don't change from day to day (2026-01-01, epoch seconds).
 NOW = 1_767_225_600
@@ -46,7 +48,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, page_no (physical, from 1), raw_text, norm: pages of non-blank text."""
     d = read(spark, sf_dir, "documents")
     p = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("pos", "raw_text")).where(F.trim("raw_text") != "")
-    return p.select("file_id", (F.col("pos") + 1).cast("long").alias("page_no"), "raw_text", F.replace(F.lower("raw_text"), F.lit("ß"), F.lit("ss")).alias("norm"))
+    return p.select("file_id", (F.col("pos") + 1).cast("long").alias("page_no"), "raw_text", normalize(F.col("raw_text")).alias("norm"))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,15 @@ def normalize_full(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.map(lambda x: None if x is None else normalize_text(x))
 
 
+#: NFKC's rule for full-width forms: U+FF01 to U+FF5E stand for U+0021 to U+007E, the ideographic space for a space.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
 def normalize(col: Column) -> Column:
-    """Native form for text without compatibility characters: lower case and ß as ss."""
-    return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+    """Native form: lower case, ß as ss, full-width forms as ASCII; other compatibility characters need normalize_full."""
+    narrow = F.when(col.rlike("[　！-～]"), F.translate(col, _WIDE, _NARROW)).otherwise(col)
+    return F.replace(F.lower(narrow), F.lit("ß"), F.lit("ss"))
 
 
 def base_tokens(norm: Column) -> Column:
@@ -74,6 +80,23 @@ def parse_query(text: str) -> Query:
     return Query(rest.split(), phrases)
 
 
+def whole_phrase(query: Query) -> str:
+    """What the query asks for as one phrase: its terms, or its only quoted run; a mixed query has none."""
+    if query.phrases:
+        return "" if query.terms or len(query.phrases) > 1 else query.phrases[0]
+    return " ".join(query.terms)
+
+
+def query_stem(text: str) -> str:
+    """The query as the name of a file, without .pptx or .ppt."""
+    return re.sub(r"\.pptx?\Z", "", normalize_text(text).strip())
+
+
+def letters(text: str) -> str:
+    """What ``compact`` leaves of a normalised text."""
+    return "".join(re.findall(r"[0-9a-z一-鿿]", normalize_text(text)))
+
+
 def clauses(piece: str, exact: bool = False) -> list[str]:
     """What a normalised piece asks of padded tokens: adjacent tokens, or all trigrams of one ASCII word."""
     tokens = re.findall(TOKEN, piece)
@@ -103,7 +126,7 @@ def compact(col: Column) -> Column:
 
 def contains_compact(col: Column, text: str) -> Column:
     """The letters of ``text`` in order with anything but letters and digits between them, not inside a longer ASCII word."""
-    chars = re.findall(r"[0-9a-z一-鿿]", normalize_text(text))
+    chars = letters(text)
     if not chars:
         return F.lit(False)
     body = r"[^0-9a-zA-Z一-鿿]*".join(re.escape(c) for c in chars)

@@ -75,12 +75,12 @@ def name_hits(files: DataFrame, query: T.Query, scope: str | None = None, exts:
 def search(pages: DataFrame, files: DataFrame, text: str, scope: str | None = None, exts: list[str] | None = None, limit: int = RESULTS) -> DataFrame:
     """pos, file_id, path, name, score, name_hit, match_kind, best_page, snippet, n_hits, duplicate_paths; ranked."""
     query = T.parse_query(text)
-    plain = T.normalize_text(" ".join(query.phrases + query.terms))
+    phrase, letters, asked = T.whole_phrase(query), T.letters(text), T.query_stem(text)
     hits = recall(pages, files, query, scope, exts)
     order = F.struct("rank", "page_no")
     content = hits.groupBy("file_id").agg(
         F.min("rank").alias("best"), F.min_by("page_no", order).alias("best_page"), F.min_by(T.snippet(F.col("raw_text"), F.col("norm"), query), order).alias("snippet"),
-        F.least(F.count("*"), F.lit(HITS)).alias("n_hits"), F.max(T.contains_phrase(F.col("norm"), plain)).alias("phrase"), F.max(T.contains_compact(F.col("norm"), plain)).alias("exact"),
+        F.least(F.count("*"), F.lit(HITS)).alias("n_hits"), F.max(T.contains_phrase(F.col("norm"), phrase)).alias("phrase"), F.max(T.contains_compact(F.col("norm"), text)).alias("exact"),
     )
     names = name_hits(files, query, scope, exts).withColumn("name_hit", F.lit(True))
     both = content.join(names, "file_id", "full_outer").withColumn("name_hit", F.coalesce("name_hit", F.lit(False)))
@@ -88,14 +88,14 @@ def search(pages: DataFrame, files: DataFrame, text: str, scope: str | None = No
     stem = T.stem_name(T.normalize(F.col("name")))
     kind = F.when(
         F.col("name_hit"),
-        F.when(T.compact(stem) == "".join(c for c in plain if c.isalnum()), KINDS[0]).when(T.contains_phrase(stem, plain), KINDS[1]).otherwise(KINDS[4]),
+        F.when(F.lit(bool(letters)) & (T.compact(stem) == letters), KINDS[0]).when(T.contains_phrase(stem, phrase), KINDS[1]).otherwise(KINDS[4]),
     ).otherwise(F.when(F.col("phrase"), KINDS[2]).when(F.col("exact"), KINDS[3]).otherwise(KINDS[4]))
     every = W.partitionBy()  # at most 2 x CANDIDATES rows by now
     lo, hi = F.min("best").over(every), F.max("best").over(every)
     old, new = F.min("mtime").over(every), F.max("mtime").over(every)
     rel = F.when(F.col("best").isNull(), 0.0).when(hi == lo, 1.0).otherwise((hi - F.col("best")) / (hi - lo))
     recent = F.when(new == old, 1.0).otherwise((F.col("mtime") - old) / (new - old))
-    bonus = F.when(~F.col("name_hit"), 0.0).when(stem == plain, 2.0).when(F.startswith(stem, F.lit(plain)), 1.0).otherwise(0.5)
+    bonus = F.when(~F.col("name_hit"), 0.0).when(stem == asked, 2.0).when(F.lit(bool(asked)) & F.startswith(stem, F.lit(asked)), 1.0).otherwise(0.5)
     f = f.withColumn("match_kind", kind).withColumn("score", F.round(W_REL * rel + W_RECENCY * recent + bonus, 6))
     quality = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("match_kind"))
     ranked = W.orderBy(F.col("name_hit").desc(), quality, F.col("score").desc(), F.col("mtime").desc(), F.lower("name"), "file_id")

@@ -72,6 +72,19 @@ def test_names_come_before_contents(spark):
     assert [(x.name, x.match_kind) for x in found(spark, files, "AI SP")] == [("AI-SP.pptx", "filename_exact"), ("other.pptx", "content_phrase")]
 
 
+def test_kinds_of_accented_names_and_mixed_queries(spark):
+    kinds = lambda files, q: [(x.name, x.match_kind) for x in found(spark, files, q)]
+    assert kinds([("résumé.pptx", ["nothing"])], "résumé") == [("résumé.pptx", "filename_exact")]
+    page = [("a.pptx", ["the AI SP plan"])]
+    assert kinds(page, '"AI SP"') == [("a.pptx", "content_phrase")]
+    assert kinds(page, '"AI" SP') == [("a.pptx", "content_exact")]
+    assert kinds(page, 'SP "AI"') == [("a.pptx", "partial")]
+
+
+def test_a_query_may_name_the_file_with_its_extension(spark):
+    assert [x.score for x in found(spark, [("deck.pptx", ["nothing"])], "deck.pptx")] == [2.25]
+
+
 def test_newer_first_and_literal_wildcards(spark):
     files = [("old.pptx", ["same words"]), ("new.pptx", ["same words"])]
     assert [x.name for x in found(spark, files, "same words")] == ["new.pptx", "old.pptx"]
@@ -88,6 +101,7 @@ def test_filters_stand_before_the_limit(spark, monkeypatch):
 def test_normalisation(spark):
     df = spark.createDataFrame([("ＡＢＣ ﬁn Straße 昇腾",), (None,)], "t string")
     assert [r[0] for r in df.select(T.normalize_full("t")).collect()] == ["abc fin strasse 昇腾", None]
+    assert [r[0] for r in df.select(T.normalize(F.concat(F.col("t"), F.lit("　１")))).collect()] == ["abc ﬁn strasse 昇腾 1", None]
     assert df.select(T.index_tokens(F.lit("ai spark 昇"))).first()[0] == ["ai", "spark", "昇", "spa", "par", "ark"]
     assert T.parse_query("“a b” c \"d") == T.Query(["c", "d"], ["a b"])
     r = df.select(T.contains_phrase(F.lit("ai spark"), "AI SP"), T.contains_compact(F.lit("x ai--sp y"), "AI SP"), T.human_bytes(F.lit(1536)), T.human_bytes(F.lit(5))).first()
