@@ -72,7 +72,7 @@ def _signed(n: int, minima: int, bits: int):
         for x in batches:
             values, at = shingles(*word_hashes(x["text"].to_pylist()), n)
             sig = pack_low_bits(family.minima(values, at), bits) if len(at) > 1 else np.zeros((0, minima * bits // 64), np.int64)
-            yield pa.RecordBatch.from_arrays([x["id"], pa.array(np.diff(at)), *(pa.array(s) for s in sig.T)], ["id", "size", *(f"s{k}" for k in range(sig.shape[1]))])
+            yield pa.RecordBatch.from_arrays([x["id"], x["text"], pa.array(np.diff(at)), *(pa.array(s) for s in sig.T)], ["id", "text", "size", *(f"s{k}" for k in range(sig.shape[1]))])
 
     return run
 
@@ -90,8 +90,9 @@ def linked(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int,
     buckets = some.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = Staged(some.df.join(buckets, "key"), "buckets").df  # only buckets of several members
     some.drop()
-    texts = Staged(texts_of(shared.select("id").distinct()), "texts").df
-    side = Staged(texts.mapInArrow(_signed(n, minima, bits), "id long, size long, " + ", ".join(f"s{k} long" for k in range(words))), "signed").df
+    schema = "id long, text string, size long, " + ", ".join(f"s{k} long" for k in range(words))
+    signed = Staged(texts_of(shared.select("id").distinct()).mapInArrow(_signed(n, minima, bits), schema), "signed").df
+    texts, side = signed.select("id", "text"), signed.drop("text")
 
     def alike(x: str, y: str) -> Column:
         a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
