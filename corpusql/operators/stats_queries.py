@@ -103,14 +103,23 @@ def top_folders(spark, d):
     return A.files(spark, d).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "folder").limit(8)
 
 
+def facet_columns() -> dict:
+    """time, type, pages and folder of files(path, ext, mtime, page_count); a path without a folder is its own."""
+    days = F.floor((F.lit(A.NOW) - F.floor(F.col("mtime") / A.DAY) * A.DAY) / A.DAY)
+    folder = F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
+    return {
+        "time": F.when(days <= 0, "今天").when(days == 1, "昨天").when(days < 7, "本周").when(days < 30, "本月").otherwise("更早"),
+        "type": F.when(F.lower("ext") == "pptx", "pptx").otherwise("ppt"),
+        "pages": F.when(F.coalesce("page_count", F.lit(0)) <= 10, "1-10").when(F.col("page_count") <= 30, "10-30").otherwise("30+"),
+        "folder": F.when(folder == "", F.col("path")).otherwise(folder),
+    }
+
+
 @query(f"""WITH {FC}, a AS (SELECT *, floor(({A.NOW} - floor(mtime / 86400) * 86400) / 86400) AS d, regexp_extract(path, '([^/]*)/[^/]*$', 1) AS folder FROM files),
 t AS (SELECT CASE WHEN d <= 0 THEN '今天' WHEN d = 1 THEN '昨天' WHEN d < 7 THEN '本周' WHEN d < 30 THEN '本月' ELSE '更早' END AS time, CASE WHEN ext = 'pptx' THEN 'pptx' ELSE 'ppt' END AS type, CASE WHEN page_count <= 10 THEN '1-10' WHEN page_count <= 30 THEN '10-30' ELSE '30+' END AS pages, folder FROM a)
 SELECT 'time' AS facet, time AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'pages', pages, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'folder', folder, count(*) FROM t GROUP BY 2""")
 def facet_counts(spark, d):
-    days = F.floor((F.lit(A.NOW) - F.floor(F.col("mtime") / A.DAY) * A.DAY) / A.DAY)
-    time = F.when(days <= 0, "今天").when(days == 1, "昨天").when(days < 7, "本周").when(days < 30, "本月").otherwise("更早")
-    pages = F.when(F.col("page_count") <= 10, "1-10").when(F.col("page_count") <= 30, "10-30").otherwise("30+")
-    t = A.files(spark, d).select(time.alias("time"), F.when(F.col("ext") == "pptx", "pptx").otherwise("ppt").alias("type"), pages.alias("pages"), F.element_at(F.split("path", "/"), -2).alias("folder"))
+    t = A.files(spark, d).select(*(c.alias(name) for name, c in facet_columns().items()))
     # one pass over the files: grouping sets of the four dimensions
     g = t.groupingSets([["time"], ["type"], ["pages"], ["folder"]], "time", "type", "pages", "folder").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     facet = F.element_at(F.create_map(*(F.lit(x) for kv in {7: "time", 11: "type", 13: "pages", 14: "folder"}.items() for x in kv)), F.col("g").cast("int"))

@@ -125,3 +125,24 @@ def test_titles_of_every_file(spark):
     got = registry.QUERIES["page_titles_by_file"](spark, DIR).collect()
     one = sorted((r.page_no, r.title) for r in registry.QUERIES["page_titles"](spark, DIR).collect())
     assert len({r.file_id for r in got}) > 1 and sorted((r.page_no, r.title) for r in got if r.file_id == 8) == one
+
+
+def test_lists_of_results(spark):
+    from corpusql.operators import result_queries as R
+
+    rows = [(1, 10, "b.pptx", 5.0, "x"), (2, 11, "A.pptx", 9.0, None), (3, 12, "a.pptx", 9.0, "x"), (4, 13, None, None, None)]
+    r = spark.createDataFrame(rows, "pos long, file_id long, name string, mtime double, g string")
+    order = lambda *keys, **kw: [x.file_id for x in R.sorted_results(r, *keys, **kw).orderBy("place").collect()]
+    assert order() == order("size") == order("relevance", "relevance") == [10, 11, 12, 13]
+    assert order(group="g") == [10, 12, 11, 13] and order("recent", group="g") == [11, 12, 10, 13]
+    assert order("name") == [13, 11, 12, 10] and order("recent", "name") == [11, 12, 10, 13]
+    assert R.sorted_results(r.where("false"), "name").count() == R.by_time(r.where("false")).count() == 0
+    hits = spark.createDataFrame([(1, True, 0), (2, False, 3), (3, True, 1)], "file_id long, name_hit boolean, n_hits long")
+    assert [[x.file_id for x in R.of_mode(hits, m).orderBy("file_id").collect()] for m in ("filename", "content", "all", "?")] == [[1, 3], [2, 3], [1, 2, 3], [1, 2, 3]]
+    f = spark.createDataFrame([("top.pptx", "PPTX", 0.0, None), ("/a/b/c.ppt", "ppt", 0.0, 11), ("/a/b/d.pptx", "pptx", 0.0, 31)], "path string, ext string, mtime double, page_count long")
+    some = lambda **kw: sorted(x.path for x in R.of_facets(f, **kw).collect())
+    assert some() == some(time=["更早"], folder=[]) == ["/a/b/c.ppt", "/a/b/d.pptx", "top.pptx"]
+    assert some(folder=["b"], pages=["30+", "1-10"]) == ["/a/b/d.pptx"] and some(folder=["top.pptx"], type=["pptx"], pages=["1-10"]) == ["top.pptx"]
+    t = spark.createDataFrame([(1, 1672531199.0), (2, 1672531200.0), (3, 1704067199.5), (4, 1704067200.0), (5, None)], "i long, mtime double")
+    when = lambda **kw: [x.i for x in R.in_window(t, **kw).orderBy("i").collect()]
+    assert when(year=2023) == [2, 3] and when(since=1672531200, until=1704067200) == [2, 3] and when() == [1, 2, 3, 4, 5] and when(until=1672531200) == [1]
